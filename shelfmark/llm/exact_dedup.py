@@ -27,7 +27,11 @@ from shelfmark.llm.common import (
 )
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; without preallocated files, which many small stores would fill the disk with.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -43,8 +47,9 @@ def fold(sightings: DataFrame, bytes_per_batch: int) -> DataFrame:
     spark = sightings.sparkSession
     if sightings.isEmpty():  # a stream without rows writes no state
         return sightings.groupBy("key").agg(*keeper_and_size())
-    state, before = scratch(spark, "state"), spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    state, before = scratch(spark, "state"), {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         files = {f.rpartition("/")[0] for f in sightings.inputFiles()}
         stream = spark.readStream.schema(sightings.schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(*files)
@@ -56,7 +61,8 @@ def fold(sightings: DataFrame, bytes_per_batch: int) -> DataFrame:
         found = spark.read.format("statestore").load(state)
         return staged(found.select("key.key", F.col("value.max").alias("keeper"), F.col("value.count").alias("size")), "groups")
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def differing(rows: DataFrame, groups: DataFrame) -> DataFrame:
