@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import exact_dedup
+from shelfmark.llm import exact_dedup, langid, mixing, pii, sharding
 
-MODULES = (exact_dedup,)
+MODULES = (mixing, pii, langid, exact_dedup, sharding)
 
 
 def queries() -> dict:
