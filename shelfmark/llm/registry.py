@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import exact_dedup, langid, mixing, pii, sharding
+from shelfmark.llm import exact_dedup, langid, mixing, mpeg_audio, pii, sharding, warc
 
-MODULES = (mixing, pii, langid, exact_dedup, sharding)
+MODULES = (mixing, pii, warc, langid, exact_dedup, sharding, mpeg_audio)
 
 
 def queries() -> dict:
