@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import exact_dedup, langid, mixing, mpeg_audio, pii, sharding, warc
+from shelfmark.llm import exact_dedup, langid, mixing, mpeg_audio, packing, pii, sharding, warc
 
-MODULES = (mixing, pii, warc, langid, exact_dedup, sharding, mpeg_audio)
+MODULES = (mixing, pii, warc, langid, exact_dedup, sharding, mpeg_audio, packing)
 
 
 def queries() -> dict:
