@@ -91,6 +91,19 @@ def with_maybe(rows: DataFrame, bitmap: DataFrame, *cols: str, flag: str = "__ma
     )
 
 
+def without(base: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``base`` (with addresses ``__file``, ``__row``) except those at staged addresses
+    (file, row) of ``gone``; the addresses are dropped.
+
+    Rows that a bitmap shows not to be among them pass where they are; only the others move.
+    """
+    names = [c for c in base.columns if c not in ("__file", "__row")]
+    flagged = with_maybe(base, members_bitmap(gone, "file", "row"), "__file", "__row")
+    at = (F.col("__file") == gone["file"]) & (F.col("__row") == gone["row"])
+    unsure = flagged.where("__maybe").join(gone, at, "left_anti")
+    return flagged.where("not __maybe").select(*names).unionByName(unsure.select(*names))
+
+
 def spread_join(rows: DataFrame, groups: DataFrame, key: str, size_col: str, how: str = "left") -> DataFrame:
     """Join many rows with one row per group, skew-safe.
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import (
-    located, members_bitmap, scratch, spread_join, staged, text_or_empty, with_maybe,
+    located, members_bitmap, scratch, spread_join, staged, text_or_empty, with_maybe, without,
 )
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -108,17 +108,10 @@ def exact_dedup(
 
 
 def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns.
-
-    Rows that may be among the dropped ones (a bitmap tells) are joined with them; all others
-    pass where they are.
-    """
+    """The rows of ``docs`` that stay, with its columns."""
     base = located(docs)
-    gone = staged(exact_dedup(base, id_col, text_col).where("not kept").select(F.col("file").alias("__file"), F.col("row").alias("__row")), "dropped")
-    flagged = with_maybe(base, members_bitmap(gone, "__file", "__row"), "__file", "__row")
-    stay = flagged.where("not __maybe").select(*docs.columns)
-    unsure = flagged.where("__maybe").join(gone, ["__file", "__row"], "left_anti").select(*docs.columns)
-    return stay.unionByName(unsure)
+    gone = exact_dedup(base, id_col, text_col).where("not kept").select("file", "row")
+    return without(base, staged(gone, "dropped"))
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

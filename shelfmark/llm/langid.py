@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import located, staged, without
+
 # Script by first code point of a range (Unicode blocks).
 SCRIPTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -268,6 +270,20 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, schema)
 
 
+#: A text is kept when its language holds at least this share of its letters.
+MIN_SCORE = 0.4
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                    min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with its columns; trained on ``docs``."""
+    base = located(docs)
+    model = train(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
+    found = identify(base, model, id_col, text_col, F.col("__file").alias("file"), F.col("__row").alias("row"))
+    gone = found.where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select("file", "row")
+    return without(base, staged(gone, "rejected"))
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     """Whether a document is kept from training: crc32 of its identifier as text."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")), F.lit(0)) % folds == 0

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import located, members_bitmap, spread_join, staged, with_maybe
+from shelfmark.llm.common import located, members_bitmap, spread_join, staged, with_maybe, without
 from shelfmark.llm.langid import portions
 
 WORD = re.compile(r"\w+")
@@ -300,11 +300,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that represent their class, with its columns."""
     base = located(docs)
-    gone = near_dedup(base, id_col, text_col, threshold).where("not representative")
-    gone = staged(gone.select(F.col("file").alias("__file"), F.col("row").alias("__row")), "dropped")
-    flagged = with_maybe(base, members_bitmap(gone, "__file", "__row"), "__file", "__row")
-    unsure = flagged.where("__maybe").join(gone, ["__file", "__row"], "left_anti")
-    return flagged.where("not __maybe").select(*docs.columns).unionByName(unsure.select(*docs.columns))
+    gone = near_dedup(base, id_col, text_col, threshold).where("not representative").select("file", "row")
+    return without(base, staged(gone, "dropped"))
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
