@@ -8,11 +8,13 @@ arrival is later than all registers.  Two registers agree with the probability J
 similarity.  Bands of five registers propose candidates - a pair at 0.8 is missed with a
 probability below 1e-4 - and pairs are verified with the exact similarity of the whole texts.
 
-Texts with the same words are one vertex.  Links are found bucket by bucket without emitting
-all pairs of a bucket: a round compares a bucket's members with a few pivots; links merge
-components; later rounds compare only members of different components with the next pivots,
-until no two members of a bucket are untested and in different components.  The classes are
-those of testing all candidate pairs.
+Texts with the same words are one vertex.  Buckets connect vertices to groups; a group of bounded
+size is verified in one task, which skips pairs that are in one component already or that the
+distance to the group's most connected member rules out (1 - similarity is a metric).  Groups
+above the bound go bucket by bucket: a round compares a bucket's members with a few pivots, links
+merge components, and later rounds compare only members of different components with the next
+pivots, until no two members of a bucket are untested and in different components.  Either way
+the classes are those of testing all candidate pairs.
 
 Defined cases: a null text is empty; texts without words are near-duplicates only if identical;
 a null identifier is smaller than any other; repeated rows are copies; a class's representative
@@ -42,6 +44,9 @@ REGISTERS = BANDS * ROWS
 CACHE = 300_000
 #: Pivots that a bucket compares its members with, by round (the last number repeats).
 PIVOTS = (1, 8, 64)
+#: Groups of candidates up to this size are verified within one task; larger ones by rounds.
+GROUP_ROWS = 4096
+GROUP_WORDS = 8_000_000
 
 U = np.uint64
 MULTIPLIER = U(0x9E3779B97F4A7C15)  # odd; 2**64 divided by the golden ratio
@@ -131,10 +136,11 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     """Sum over common i of 1 / sum over j of max(x_j / x_i, y_j / y_i), for (hashes, weights)."""
     if not len(a[0]) or not len(b[0]):
         return 0.0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    i = np.flatnonzero(b[0][at] == a[0])
     if not len(i):
         return 0.0
-    x, y = a[1][i].astype(np.float64), b[1][j].astype(np.float64)
+    x, y = a[1][i].astype(np.float64), b[1][at[i]].astype(np.float64)
     only_x, only_y = a[1].sum() - x.sum(), b[1].sum() - y.sum()
     order = np.argsort(x / y, kind="stable")
     x, y = x[order], y[order]
@@ -143,7 +149,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / ((above + only_x) / x + (below + only_y) / y)).sum())
 
 
-SIGNED = "id {kind}, file string, row bigint, h1 bigint, h2 bigint, bands array<bigint>"
+SIGNED = "id {kind}, file string, row bigint, h1 bigint, h2 bigint, words bigint, bands array<bigint>"
 
 
 def signed(placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -167,35 +173,92 @@ def signed(placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 own = batch.slice(at, len(part))
                 at += len(part)
                 bands = pa.array([k if w else [] for k, w in zip(keys.tolist(), found, strict=True)], pa.list_(pa.int64()))
-                cols = [own.column(0), own.column(1), own.column(2), pa.array(halves[:, 0]), pa.array(halves[:, 1]), bands]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "file", "row", "h1", "h2", "bands"])
+                cols = [own.column(0), own.column(1), own.column(2), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
+                        pa.array([len(w) for w in found], pa.int64()), bands]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "file", "row", "h1", "h2", "words", "bands"])
 
     return rows.mapInArrow(run, SIGNED.format(kind=kind))
 
 
 def weighted(placed: DataFrame, vertices: DataFrame, text_col: str) -> DataFrame:
-    """Shingles of the representatives (v, file, row) of vertices: v, hashes, weights (binary).
+    """Shingles of the representatives (v, g, bands, file, row) of vertices: v, g, bands, hashes,
+    weights (binary).
 
     Other rows are dropped where they are read, by a bitmap of the addresses.
     """
     rows = placed.select(F.col("__file").alias("file"), F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text"))
     some = with_maybe(rows, members_bitmap(vertices, "file", "row"), "file", "row").where("__maybe").drop("__maybe")
-    met = some.join(vertices, ["file", "row"]).select("v", "text")
+    met = some.join(vertices, ["file", "row"]).select("v", "g", "bands", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             at = 0
-            for part in portions(batch.column(1).to_pylist()):
+            for part in portions(batch.column(3).to_pylist()):
                 of, value, weight = shingler.shingles(shingler.words(part))
                 cuts = np.searchsorted(of, np.arange(len(part) + 1))
                 hashes = [value[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 weights = [weight[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 own = batch.slice(at, len(part))
                 at += len(part)
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(hashes, pa.binary()), pa.array(weights, pa.binary())], names=["v", "hashes", "weights"])
+                cols = [own.column(0), own.column(1), own.column(2), pa.array(hashes, pa.binary()), pa.array(weights, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["v", "g", "bands", "hashes", "weights"])
+
+    return met.mapInArrow(run, "v bigint, g bigint, bands array<bigint>, hashes binary, weights binary")
 
-    return met.mapInArrow(run, "v bigint, hashes binary, weights binary")
+
+def components(keys: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.ndarray:
+    """Component of each member of a group (index of one of its members).
+
+    Pairs that share a band key are verified unless they are in one component already.  Members
+    with most shared keys come first: what is like them merges at once.  1 - similarity is a
+    metric, so the distances to the first member rule out pairs that can't be near.
+    """
+    n = len(sets)
+    parent = np.arange(n)
+    _, inverse, counts = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
+    order = np.argsort(-counts[inverse].reshape(keys.shape).sum(axis=1), kind="stable")
+    to_hub, reach = np.full(n, np.nan), 1.0 - threshold + 1e-9
+    done = np.zeros(n, bool)
+    for turn, i in enumerate(order):
+        near = (keys == keys[i]).any(axis=1)
+        near &= (parent != parent[i]) & ~done
+        if turn and not np.isnan(to_hub[i]):
+            near &= ~(np.abs(to_hub - to_hub[i]) > reach)
+        for j in np.flatnonzero(near):
+            if parent[j] == parent[i]:
+                continue
+            similarity = probability_jaccard(sets[i], sets[j])
+            if not turn:
+                to_hub[j] = 1.0 - similarity
+            if similarity >= threshold:
+                parent[parent == parent[j]] = parent[i]
+        if not turn:
+            to_hub[i] = 0.0
+        done[i] = True
+    return parent
+
+
+def clustered(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(v, g, bands, hashes, weights), sorted by g -> (v, c)."""
+    current, part = None, []
+
+    def close() -> pa.RecordBatch:
+        keys = np.array([p[1] for p in part], np.int64)
+        sets = [(np.frombuffer(p[2], "<u8"), np.frombuffer(p[3], "<u4")) for p in part]
+        v = np.array([p[0] for p in part], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(v), pa.array(v[components(keys, sets, threshold)])], names=["v", "c"])
+
+    for batch in batches:
+        bands = batch.column(2)
+        for k, (v, g) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if g != current:
+                if part:
+                    yield close()
+                current, part = g, []
+            part.append((v, bands[k].values.to_numpy(), batch.column(3)[k].as_py(), batch.column(4)[k].as_py()))
+    if part:
+        yield close()
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
@@ -246,40 +309,29 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
             "x", F.coalesce("ny", "y").alias("y"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: id, file, row, class_id (identifier of the class's
-    representative), class_size, copies (rows with the same words), representative."""
-    placed = docs if "__file" in docs.columns else located(docs)
-    rows = staged(signed(placed, id_col, text_col), "signed")
-    vertices = rows.groupBy("h1", "h2").agg(
-        F.min(F.struct("id", "file", "row")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
-    )
-    vertices = staged(vertices.withColumn("v", F.monotonically_increasing_id()), "vertices")
-    banded = vertices.select("v", F.explode("bands").alias("key"))
-    buckets = staged(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = with_maybe(banded, members_bitmap(buckets, "key"), "key").where("__maybe").drop("__maybe")
-    members = staged(spread_join(members, buckets, "key", "n", "inner").select("key", "v", "n"), "members")
-    involved = members.select("v").distinct()
-    where = vertices.select("v", "rep.file", "rep.row").join(involved, "v")
-    shingles = staged(weighted(placed, where, text_col), "shingles")
-    labels = staged(involved.withColumn("c", F.col("v")), "labels")
+def merged_by_rounds(members: DataFrame, buckets: DataFrame, shingles: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Labels (v, c) of large groups, bucket by bucket, with a few pivots per round.
+
+    members: (key, v, n); buckets: (key, n).  A bucket's most connected member is its first pivot.
+    """
+    ranks = staged(members.groupBy("v").agg(F.sum("n").alias("degree")), "degrees")
+    members = staged(members.join(ranks, "v"), "members")
     tested, done, turn = None, members.limit(0).select("key", "v"), 0
     while True:
         count = PIVOTS[min(turn, len(PIVOTS) - 1)]
         turn += 1
-        open_members = members.join(labels, "v").select("key", "v", "c", "n")
+        open_members = members.join(labels, "v").select("key", "v", "c", "degree")
         if turn > 1:  # only buckets with several components, and members that were no pivot yet
             mixed = open_members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
             open_members = staged(open_members.join(mixed, "key", "left_semi"), "open")
-        fresh = open_members if turn == 1 else open_members.join(done, ["key", "v"], "left_anti")
+        fresh = open_members.join(done, ["key", "v"], "left_anti")
         slot = F.pmod(F.xxhash64("v"), F.lit(count))
-        pivots = fresh.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("v", "c")).alias("p")).select("key", "p.*")
-        pivots = staged(pivots, "pivots").select("key", F.col("v").alias("p"), F.col("c").alias("pc"))
+        best = F.min(F.struct((-F.col("degree")).alias("degree"), "v", "c")).alias("p")
+        pivots = staged(fresh.groupBy("key", slot.alias("slot")).agg(best).select("key", F.col("p.v").alias("p"), F.col("p.c").alias("pc")), "pivots")
         if pivots.isEmpty():
-            break
-        # a bucket's rows times its pivots: spread over salts where the bucket is hot
+            return labels
         sized = pivots.groupBy("key").agg(F.collect_list(F.struct("p", "pc")).alias("ps")).join(buckets, "key")  # at most `count` each
-        met = spread_join(fresh.drop("n"), sized, "key", "n", "inner").select("v", "c", F.explode("ps").alias("q"))
+        met = spread_join(fresh.drop("degree"), sized, "key", "n", "inner").select("v", "c", F.explode("ps").alias("q"))
         pairs = met.where("v <> q.p AND c <> q.pc").select(F.least("v", "q.p").alias("a"), F.greatest("v", "q.p").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -287,6 +339,41 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         tested = results.select("a", "b") if tested is None else tested.unionByName(results.select("a", "b"))
         done = done.unionByName(pivots.select("key", F.col("p").alias("v")))
         labels = merge_components(labels, results.where("linked"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+               group_rows: int = GROUP_ROWS, group_words: int = GROUP_WORDS) -> DataFrame:
+    """One row per row of ``docs``: id, file, row, class_id (identifier of the class's
+    representative), class_size, copies (rows with the same words), representative."""
+    spark = docs.sparkSession
+    placed = docs if "__file" in docs.columns else located(docs)
+    rows = staged(signed(placed, id_col, text_col), "signed")
+    vertices = rows.groupBy("h1", "h2").agg(
+        F.min(F.struct("id", "file", "row")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("words").alias("words"),
+        F.first("bands").alias("bands"),
+    )
+    vertices = staged(vertices.withColumn("v", F.monotonically_increasing_id()), "vertices")
+    banded = vertices.select("v", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("p")).where("n > 1")
+    buckets = staged(buckets, "buckets")
+    members = with_maybe(banded, members_bitmap(buckets, "key"), "key").where("__maybe").drop("__maybe")
+    members = staged(spread_join(members, buckets, "key", "n", "inner").select("key", "v", "n", "p"), "members")
+    involved = staged(members.select("v").distinct().withColumn("c", F.col("v")), "involved")
+    # groups: what buckets connect, directly or not
+    groups = merge_components(involved, members.where("v <> p").select(F.col("v").alias("a"), F.col("p").alias("b")).distinct())
+    where = vertices.join(groups, "v").select("v", F.col("c").alias("g"), "bands", "words", "rep.file", "rep.row")
+    sizes = where.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
+    large = staged(sizes.where((F.col("n") > group_rows) | (F.col("words") > group_words)).select("g"), "large")
+    small = where.join(large, "g", "left_anti").drop("words")
+    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sets = weighted(placed, staged(small, "small"), text_col).repartition(parts, "g").sortWithinPartitions("g", "v")
+    labels = staged(sets.mapInArrow(lambda it: clustered(it, threshold), "v bigint, c bigint"), "labels")
+    if not large.isEmpty():
+        rest = staged(where.join(large, "g", "left_semi").drop("words"), "rest")
+        shingles = staged(weighted(placed, rest, text_col).select("v", "hashes", "weights"), "shingles")
+        own = staged(members.join(rest.select("v"), "v", "left_semi").select("key", "v", "n"), "members")
+        begin = staged(rest.select("v", F.col("v").alias("c")), "labels")
+        labels = labels.unionByName(merged_by_rounds(own, buckets.select("key", "n"), shingles, begin, threshold))
     classed = vertices.join(labels, "v", "left").select("h1", "h2", "rep", "copies", F.coalesce("c", "v").alias("c"))
     classes = staged(classed.groupBy("c").agg(F.min("rep").alias("best"), F.sum("copies").alias("class_size")), "classes")
     of = staged(classed.join(classes, "c").select(F.struct("h1", "h2").alias("key"), "copies", "best", "class_size"), "classed")
