@@ -1,0 +1 @@
+"""File-inventory analytics on Spark: scan, classify, name, plan, resolve, execute, report."""
