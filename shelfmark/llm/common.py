@@ -11,12 +11,13 @@ Everything here is DataFrame-native.  Three rules recur:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.tables import scratch, staged
+
+__all__ = ["global_rank", "located", "members_bitmap", "scratch", "spread_join", "staged", "text_or_empty", "with_maybe", "without"]
+
 #: A group is hot when it holds more than one row in this many, so at most this many are hot.
 HOT_KEYS = 1000
 #: Number of salts over which the rows of a hot group are spread.
@@ -27,27 +28,6 @@ FILTER_BITS = 1 << 25
 ROW_LOCATOR = ("_metadata.file_path", "_metadata.row_index")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new, empty path in the shared folder of the session.
-
-    The folder is the one of ``spark.checkpoint.dir``; only where a session has none (tests),
-    a temporary folder becomes its value.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/shelfmark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the reread table (cuts the lineage)."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def located(docs: DataFrame, file_col: str = "__file", row_col: str = "__row") -> DataFrame:
     """Add a stable row address: the file's path and the row's index in it.
 

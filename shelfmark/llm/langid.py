@@ -88,6 +88,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     labelled = docs.select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     ).where("lang IS NOT NULL AND text IS NOT NULL")
+    # thin out by hash first (four times what is needed), so that no window sees all of a language
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    thin = F.pmod(F.xxhash64(F.lit("thin"), "id"), F.lit(1 << 20)) < (4.0 * per_lang / F.col("n")) * (1 << 20)
+    labelled = labelled.join(counts, "lang").where(thin)
     order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
     sample = labelled.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_lang).select("lang", "text")
 

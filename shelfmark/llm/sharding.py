@@ -48,7 +48,10 @@ def split_level(rows: DataFrame, start: int, depth: int, limit: int) -> DataFram
     sums = levels.groupBy("d", F.expr("substring(cell, 1, d)").alias("prefix")).agg(
         F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows")
     )
-    fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("d") == depth) | (F.col("shard_rows") == 1))
+    fits = staged(sums.where((F.col("shard_bytes") <= limit) | (F.col("d") == depth) | (F.col("shard_rows") == 1)), "fits")
+    # prefixes shorter than the first that fits hold many rows and no shard
+    shortest = fits.agg(F.min("d")).first()[0]
+    levels = levels.where(F.col("d") >= (depth if shortest is None else shortest))
     named = levels.select("cell", "d", F.expr("substring(cell, 1, d)").alias("prefix")).join(fits, ["d", "prefix"])
     # the first bucket of each cell that needs no further split
     return named.groupBy("cell").agg(F.min(F.struct("d", "prefix", "shard_bytes", "shard_rows")).alias("s")).select("cell", "s.*")
