@@ -134,7 +134,8 @@ class Reader:
                     self.state = "head"
                 continue
             if self.state == "head":
-                self.buffer += data
+                # line breaks between records are skipped: a file's last piece may lack its separator
+                self.buffer += data if self.buffer else data.lstrip(b"\r\n")
                 head, found, data = self.buffer.partition(END.encode())
                 if found:
                     self.buffer = b""
