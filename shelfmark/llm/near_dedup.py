@@ -41,7 +41,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-CACHE = 300_000
+CACHE = 150_000
+#: Texts are hashed together up to this many characters, which bounds the memory of a worker.
+TOGETHER = 1_000_000
 #: Pivots that a bucket compares its members with, by round (the last number repeats).
 PIVOTS = (1, 8, 64)
 #: Groups of candidates up to this size are verified within one task; larger ones by rounds.
@@ -161,7 +163,7 @@ def signed(placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
         shingler = Shingler()
         for batch in batches:
             at = 0
-            for part in portions(batch.column(3).to_pylist()):
+            for part in portions(batch.column(3).to_pylist(), TOGETHER):
                 found = shingler.words(part)
                 of, value, weight = shingler.shingles(found)
                 keys = band_keys(prob_minhash(of, value, weight, len(part)))
@@ -194,7 +196,7 @@ def weighted(placed: DataFrame, vertices: DataFrame, text_col: str) -> DataFrame
         shingler = Shingler()
         for batch in batches:
             at = 0
-            for part in portions(batch.column(3).to_pylist()):
+            for part in portions(batch.column(3).to_pylist(), TOGETHER):
                 of, value, weight = shingler.shingles(shingler.words(part))
                 cuts = np.searchsorted(of, np.arange(len(part) + 1))
                 hashes = [value[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
