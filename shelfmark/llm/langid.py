@@ -3,7 +3,8 @@
 Training: n-gram counts of words (1 to 3 characters, with word boundaries) per language over a
 bounded sample - at most ``per_lang`` documents of each language, those with the smallest hash
 of their identifier - give a naive Bayes score per word and language, and the scripts that a
-language uses.  The model keeps at most ``max_grams`` n-grams, so its size has a bound.
+language uses.  All n-grams of the sample are kept and every language with letters in it is
+learned, rare ones too; the model's size is bounded by the sample, not by the size of the data.
 
 Prediction: a word's script range leaves some languages as candidates; each gets the word's
 score; Viterbi over the words of a text, with a penalty for every switch of language, labels
@@ -44,7 +45,6 @@ SCRIPTS = [
 STARTS = [a for a, _ in SCRIPTS]
 WORD = re.compile(r"[^\W\d_]+")
 PER_LANG = 1000
-MAX_GRAMS = 60_000
 SWITCH = 5.0
 SPREAD = 12.0
 CACHE = 300_000
@@ -63,7 +63,7 @@ def grams(word: str) -> list[str]:
 class Model:
     langs: list[str]
     index: dict[str, int]
-    weights: np.ndarray  # row 0: unseen; rows by n-gram; columns by language
+    weights: np.ndarray  # row 0: unseen; rows by n-gram; columns by language; single precision
     scripts: dict[str, np.ndarray]  # script -> penalty by language
 
     def score(self, words: list[str]) -> np.ndarray:
@@ -83,7 +83,7 @@ class Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          per_lang: int = PER_LANG, max_grams: int = MAX_GRAMS) -> Model | None:
+          per_lang: int = PER_LANG) -> Model | None:
     """Fit the model on at most ``per_lang`` documents of each language."""
     labelled = docs.select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
@@ -109,24 +109,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         yield pa.RecordBatch.from_arrays(cols, names=["lang", "gram", "n"])
 
     counts = sample.mapInArrow(count, "lang string, gram string, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "gram", "lang").limit(max_grams).collect()  # bounded by max_grams
-    langs = sorted({r["lang"] for r in top})
+    rows = counts.toArrow()  # bounded by the sample; one row at least of each language with letters
+    found = list(zip(*[rows.column(c).to_pylist() for c in ("lang", "gram", "n")], strict=True))
+    langs = sorted({lang for lang, _, _ in found})
     if not langs:
         return None
     at = {lang: i for i, lang in enumerate(langs)}
     index: dict[str, int] = {}
-    for r in top:
-        if r["gram"][0] != "\0":
-            index.setdefault(r["gram"], len(index) + 1)
+    for _, gram, _ in found:
+        if gram[0] != "\0":
+            index.setdefault(gram, len(index) + 1)
     table = np.zeros((len(index) + 1, len(langs)))
     used: dict[str, np.ndarray] = {}
-    for r in top:
-        if r["gram"][0] == "\0":
-            used.setdefault(r["gram"][1:], np.zeros(len(langs)))[at[r["lang"]]] += r["n"]
+    for lang, gram, n in found:
+        if gram[0] == "\0":
+            used.setdefault(gram[1:], np.zeros(len(langs)))[at[lang]] += n
         else:
-            table[index[r["gram"]], at[r["lang"]]] += r["n"]
+            table[index[gram], at[lang]] += n
     total = table.sum(axis=0)
-    weights = np.log((table + 0.5) / (total + 0.5 * len(table)))
+    weights = np.log((table + 0.5) / (total + 0.5 * len(table))).astype(np.float32)
     letters = sum(used.values())
     scripts = {s: np.where(n > 0.01 * letters, 0.0, -100.0) for s, n in used.items() if (n > 0.01 * letters).any()}
     return Model(langs, index, weights, scripts)
@@ -138,7 +139,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     scores: the words of all texts, one text after the other (words x languages).  All texts
     advance together, word by word; the longest come first, so those still running are a prefix.
     """
-    labels = np.zeros(len(scores), np.int8)
+    kind = np.int8 if scores.shape[1] < 128 else np.int32
+    labels = np.zeros(len(scores), kind)
     order = np.argsort(-lengths, kind="stable")
     begin = (np.cumsum(lengths) - lengths)[order]
     sizes = lengths[order]
@@ -147,9 +149,9 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     longest = int(sizes[0])
     running = np.searchsorted(-sizes, -np.arange(longest), side="left")  # texts longer than t
     state = scores[begin[: running[0]]].copy()
-    best = np.zeros(len(scores), np.int8)  # the best label before this word
+    best = np.zeros(len(scores), kind)  # the best label before this word
     jump = np.zeros(scores.shape, bool)  # whether a label at this word comes from there
-    ends = np.zeros(running[0], np.int8)
+    ends = np.zeros(running[0], kind)
     for t in range(1, longest):
         n = running[t]
         if n < len(state):
@@ -162,7 +164,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
         best[at], jump[at] = top, come
         state = np.where(come, over[:, None], state) + scores[at]
     ends[: len(state)] = state.argmax(axis=1)
-    current, begun = np.zeros(len(ends), np.int8), 0
+    current, begun = np.zeros(len(ends), kind), 0
     for t in range(longest - 1, -1, -1):
         n = running[t]
         current[begun:n] = ends[begun:n]  # texts that end with this word
@@ -250,7 +252,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
     schema = f"{fields}, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>"
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     kept = [i for i, c in enumerate(rows.columns) if c != "text"]
     span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 

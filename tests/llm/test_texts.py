@@ -117,6 +117,30 @@ def test_language(spark):
     assert kept.columns == table.columns and kept.count() >= 0.99 * table.count()
 
 
+def test_rare_language(spark):
+    rng, letters = np.random.default_rng(3), np.array(list("abcdefghijklmnopqrstuvwxyzäöüßéèêçñåøæ"))
+    alphabets = {f"l{i}": rng.choice(letters, 24, replace=False) for i in range(7)} | {"rare": letters[-20:]}
+
+    def text(lang, n):
+        return " ".join("".join(w) for w in rng.choice(alphabets[lang], (n, 7)))
+
+    rows = [(i, text(f"l{i % 7}", 2500), f"l{i % 7}") for i in range(210)] + [(1000 + i, text("rare", 30), "rare") for i in range(4)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.index) > 15_000 and np.count_nonzero(model.weights > model.weights[0]) > 60_000
+    assert model.langs == sorted(alphabets)
+    own = collections.Counter(g for _, t, lang in rows if lang == "rare" for w in t.split() for g in langid.grams(w))
+    at = model.langs.index("rare")
+    assert all(model.weights[model.index[g], at] > model.weights[0, at] for g in own)
+    got = langid.Labeller(model).predict([text("rare", 12) for _ in range(40)] + [text("l0", 12) for _ in range(40)])
+    assert [g[0] for g in got].count("rare") >= 36 and [g[0] for g in got[40:]].count("l0") >= 36
+
+
+def test_many_languages():
+    scores = np.full((3, 200), -9.0)
+    scores[:, 150] = 0
+    assert langid.viterbi(scores, np.array([2, 1])).tolist() == [150] * 3
+
+
 # --- WARC -------------------------------------------------------------------------------------
 
 
