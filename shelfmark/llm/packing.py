@@ -12,7 +12,8 @@ Ranks need no sort: a task numbers the pieces of each length as it writes them,
 numbers of earlier tasks are summed per length.
 
 Tokenisation: the ids are those of the byte-level BPE whose ranks are in ``vocabulary`` (see
-``byte_bpe_50k``); ``tiktoken`` computes them, which the tests compare with ``tokenizers``.
+``byte_bpe_50k``); ``tiktoken`` computes them, which the tests compare with ``tokenizers``.  The
+vocabulary's added tokens (``<|endoftext|>``) are matched inside texts, as ``tokenizers`` does.
 
 Defined cases: a null text is empty; an empty text is one piece that holds the end id only;
 every row gives its pieces, repeated ones too; an empty table gives an empty result.
@@ -22,11 +23,13 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,14 @@ def byte_bpe_50k() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Ids of the added tokens by content, from the JSON beside the ranks; none without it."""
+    path = Path(vocabulary).with_suffix(".json")
+    if not path.exists():
+        return {}
+    return {t["content"]: t["id"] for t in json.loads(path.read_text("utf-8"))["added_tokens"]}
+
+
 @cache
 def encoder(vocabulary: str):
     """The encoder of a vocabulary file; one per process."""
@@ -58,7 +69,12 @@ def encoder(vocabulary: str):
 
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(vocabulary))
+
+
+def encode(vocabulary: str, text: str) -> list[int]:
+    """The ids of a text; an added token in it has its own id."""
+    return encoder(vocabulary).encode(text, allowed_special="all", disallowed_special=())
 
 
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -83,7 +99,7 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen = encoder(vocabulary).encode_ordinary, TaskContext.get().partitionId(), defaultdict(int)
+        task, seen = TaskContext.get().partitionId(), defaultdict(int)
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "task", "place"]
         for batch in batches:
@@ -94,7 +110,7 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
                 return pa.RecordBatch.from_arrays(data, names=names)
 
             for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), END_ID], "<u4")
+                ids = np.array([*encode(vocabulary, text.as_py() or ""), END_ID], "<u4")
                 for k, (a, b) in enumerate(cut(len(ids), capacity)):
                     raw = ids[a:b].tobytes()
                     row = (doc_id.as_py(), k, a, b - a, zlib.crc32(raw), raw if with_ids else None, task, seen[b - a])

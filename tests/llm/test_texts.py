@@ -222,6 +222,25 @@ def test_encoder_is_that_of_tokenizers():
     assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [encode(x) for x in texts]
 
 
+def test_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, path = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.byte_bpe_50k()
+    assert packing.encode(path, "a<|endoftext|>") == [64, 50256]
+    rng = random.Random(1)
+    alphabet = ["a", "é", " ", "  ", "\n", "'s", "12", "!", "文", "😀", "<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<|", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["<|endoftext|>" * 3000, "<|endoftext|>"]
+    expected = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [packing.encode(path, x) for x in texts] == expected
+    rows = list(enumerate(texts[-40:]))
+    got = collections.defaultdict(list)
+    for r in packing.pack(docs(spark, rows), with_ids=True).collect():
+        got[r.doc_id].append((r.start, r.ids))
+    for (i, _), ids in zip(rows, expected[-40:], strict=True):
+        assert np.frombuffer(b"".join(raw for _, raw in sorted(got[i])), "<u4").tolist() == [*ids, packing.END_ID]
+
+
 def best_fit_decreasing(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):
