@@ -1,6 +1,7 @@
 """A corpus pipeline over ``documents``: five stages, each one operator of ``shelfmark.llm``.
 
-1. ``language_id``: texts without a language (no letters, or none with 40 % of the letters) go.
+1. ``language_id``: texts without a language (no letters, or none with 40 % of the letters, those of
+   scripts that no language uses included) go.
 2. ``exact_dedup``: of equal texts the row with the largest doc_id stays.
 3. ``near_dedup``: of each class of near-duplicates its representative stays.
 4. ``mix``: sources are mixed to their target weights; documents may be there twice, and one

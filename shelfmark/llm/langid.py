@@ -12,7 +12,8 @@ spans.  A text's language is the one whose spans have most letters, its score th
 all letters.
 
 Defined cases: ``und`` with score 0 for a null text, a text without letters, or when nothing
-could be learned; words of a script that no language uses don't count for or against any;
+could be learned; the letters of words of a script that no language uses count for none, only
+among all letters, so a text that has no others gets a learned language with score 0;
 ties go to the language first by name; every input row gives one row, repeated ones too.
 Texts are used whole; time grows linearly with them.
 """
@@ -66,6 +67,10 @@ class Model:
     weights: np.ndarray  # row 0: unseen; rows by n-gram; columns by language; single precision
     scripts: dict[str, np.ndarray]  # script -> penalty by language
 
+    def penalties(self, words: list[str]) -> list[np.ndarray | None]:
+        """By the words' scripts; None where no language uses the script."""
+        return [self.scripts.get("latin" if w.isascii() else script(w[0])) for w in words]
+
     def score(self, words: list[str]) -> np.ndarray:
         """Scores (words x languages), 0 for the best language of a word, -SPREAD at least."""
         if not words:
@@ -75,7 +80,7 @@ class Model:
             starts.append(len(flat))
             flat += [get(g, 0) for g in grams(w.lower())]
         out = np.add.reduceat(self.weights[np.array(flat)], np.array(starts), axis=0)
-        penalties = [self.scripts.get("latin" if w.isascii() else script(w[0])) for w in words]
+        penalties = self.penalties(words)
         foreign = np.array([p is None for p in penalties])
         out += np.array([np.zeros(len(self.langs)) if p is None else p for p in penalties])
         out[foreign] = 0.0
@@ -180,16 +185,18 @@ class Labeller:
     """Predicts texts in batches; word scores are cached within bounds."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.rows, self.letters, self.used = model, {}, None, None, 0
+        self.model, self.known, self.rows, self.letters, self.native, self.used = model, {}, None, None, None, 0
 
     def learn(self, words: list[str]) -> None:
         if len(self.known) + len(words) > CACHE or self.rows is None:
             self.known, self.used = {}, 0
             self.rows = np.zeros((max(CACHE, len(words)), len(self.model.langs)), np.float32)
             self.letters = np.zeros(len(self.rows), np.int32)
+            self.native = np.zeros(len(self.rows), bool)  # whether a language uses the word's script
         at = self.used
         self.rows[at : at + len(words)] = self.model.score(words)
         self.letters[at : at + len(words)] = [len(w) if w.isascii() else sum(map(str.isalpha, w)) for w in words]
+        self.native[at : at + len(words)] = [p is not None for p in self.model.penalties(words)]
         self.known.update(zip(words, range(at, at + len(words)), strict=True))
         self.used += len(words)
 
@@ -208,12 +215,14 @@ class Labeller:
         labels = viterbi(self.rows[ids], lengths) if len(ids) else np.zeros(0, np.int8)
         weight = self.letters[ids]
         of = np.repeat(np.arange(len(texts)), lengths)
-        mass = np.bincount(of * len(langs) + labels, weights=weight, minlength=len(texts) * len(langs)).reshape(len(texts), -1)
+        whole = np.bincount(of, weights=weight, minlength=len(texts))
+        own = weight * self.native[ids]
+        mass = np.bincount(of * len(langs) + labels, weights=own, minlength=len(texts) * len(langs)).reshape(len(texts), -1)
         out, start = [], 0
         for i, text in enumerate(texts):
             own = labels[start : start + lengths[i]]
             start += lengths[i]
-            total = mass[i].sum()
+            total = whole[i]
             if not total:
                 out.append(("und", 0.0, []))
                 continue

@@ -117,6 +117,17 @@ def test_language(spark):
     assert kept.columns == table.columns and kept.count() >= 0.99 * table.count()
 
 
+def test_unlearned_script(spark):
+    rows = [(i, t, lang) for i in range(20) for lang, t in (("de", "der Hund und die Katze"), ("en", "the dog and the cat"))]
+    rows += [(100, "Привет мир", None), (101, "你好世界", None), (102, "the dog Привет дорогой мир", None), (103, "the dog and the cat мир", None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    kept = {r.doc_id for r in langid.keep_identified(table).collect()}
+    assert kept == {*range(20), 103}
+    score = {r.doc_id: r.score for r in langid.identify(table.where("lang IS NULL"), langid.train(table)).collect()}
+    assert score == {100: 0.0, 101: 0.0, 102: round(6 / 22, 6), 103: round(15 / 18, 6)}
+    assert langid.keep_identified(table).count() == 41
+
+
 def test_rare_language(spark):
     rng, letters = np.random.default_rng(3), np.array(list("abcdefghijklmnopqrstuvwxyzäöüßéèêçñåøæ"))
     alphabets = {f"l{i}": rng.choice(letters, 24, replace=False) for i in range(7)} | {"rare": letters[-20:]}
