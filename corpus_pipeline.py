@@ -4,8 +4,8 @@
    scripts that no language uses included) go.
 2. ``exact_dedup``: of equal texts the row with the largest doc_id stays.
 3. ``near_dedup``: of each class of near-duplicates its representative stays.
-4. ``mix``: sources are mixed to their target weights; documents may be there twice, and one
-   document per source may be cut at its source's budget.
+4. ``mix``: sources are mixed to their target weights; documents may be there twice, always whole:
+   the one at which a source's budget ends is taken or left, whichever is nearer the target.
 5. ``pack``: the mix is tokenised and packed into sequences of at most 2048 tokens.
 
 Each stage's result is written as Parquet to the session's shared folder and read by the next.
@@ -33,7 +33,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_rows(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return mixing.mixed_rows(docs, whole=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

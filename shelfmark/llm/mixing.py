@@ -163,16 +163,22 @@ def mixed_rows(
     max_epochs: float = 2.0,
     seed: str = "mix",
     weights: tuple = WEIGHTS,
+    whole: bool = False,
 ) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document taken twice is there twice.
 
-    The last copy of the document at which a source's budget ends has only its first words.
+    The last copy of the document at which a source's budget ends has only its first words; with
+    ``whole``, it is there whole or not at all, whichever is nearer the target (there, if equal).
     Rows stay where they are, except for those of the cells in which a budget ends.
     """
     rows = staged(measured(docs, id_col, text_col, source_col), "sized")
     plan = mix_plan(rows, share, max_epochs, seed, weights)
     carried = measured(docs, id_col, text_col, source_col, F.struct(*[docs[c] for c in docs.columns]).alias("__all"))
-    met = taken(carried, plan, seed).where("taken > 0")
+    met = taken(carried, plan, seed)
+    if whole:
+        more = F.when(F.col("__part") * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0))
+        met = met.withColumn("taken", F.col("epochs") * F.col("size") + more)
+    met = met.where("taken > 0")
     copies = met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("taken") - (F.col("__copy") - 1) * F.col("size"))
     text = F.col("__all").getField(text_col)

@@ -101,6 +101,22 @@ def test_mixed_rows(spark):
     assert {i: t for i, (t, _) in plan.items() if t} == dict(words)
 
 
+def test_mixed_rows_whole(spark):
+    rows = [(i, f"w{i} " + "v " * (i % 9), "ab"[i % 2]) for i in range(60)] + [(60 + i, "x " * 400, s) for i, s in enumerate("cccd")]
+    rows += [(64, "", "a"), (65, None, "d")]
+    df = docs(spark, rows)
+    expected = collections.Counter()
+    for r in mixing.mix(df).collect():
+        full, part = divmod(r.taken, r["size"]) if r["size"] else (0, 0)
+        expected[r.doc_id] += full + (2 * part >= r["size"] > 0)
+    texts = {i: t for i, t, _ in rows}
+    got = collections.Counter()
+    for r in mixing.mixed_rows(df, whole=True).collect():
+        assert r.text == texts[r.doc_id]
+        got[r.doc_id] += 1
+    assert got == +expected
+
+
 def test_weighted_sampling_prefers_quality(spark):
     rows = [(i, "word " * 10 if i % 2 else "#### " * 10, "s") for i in range(2000)]
     got = mixing.mix(docs(spark, rows), share=0.5).collect()

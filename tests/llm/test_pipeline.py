@@ -62,3 +62,9 @@ def test_pipeline(spark, tmp_path):
         (r.doc_id, r.start, r.length, r.ids_crc32) for r in stages["pack"]
     )
     assert mixing.WEIGHTS == (3, 1, 2) and docs.where(F.col("length") > 2048).count() == 0
+
+
+def test_mix_keeps_documents_whole(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.text == texts[r.doc_id] for r in corpus_pipeline.mix(spark, docs, "").collect())
