@@ -66,6 +66,19 @@ def test_pii_cases():
         pii.find(long)  # linear
 
 
+@pytest.mark.parametrize("iban", [
+    "TR330006100519786457841326", "SA0380000000608010167519", "AE070331234567890123456", "IL620108000000099999999", "HR1210010051863000160",
+    "SK3112000000198742637541", "SI56263300012039086", "LT121000011101001000", "LV80BANK0000435195001", "EE382200221020145685",
+    "CY17002001280000001200527600", "MT84MALT011000012345MTLCAST001S", "LC55HEMM000100010012001200023015", "BR1800360305000010009795493C1",
+])
+def test_pii_iban_registry(iban):
+    spaced = " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+    for text in (iban, spaced):
+        assert [f"to {text} now"[s[1] : s[2]] for s in pii.find(f"to {text} now") if s[0] == "iban"] == [text]
+    wrong = iban[:2] + f"{(int(iban[2:4]) + 1) % 100:02}" + iban[4:]
+    assert "iban" not in {s[0] for s in pii.find(wrong)}
+
+
 def test_pii_query(spark):
     rows = [(1, "x@y.zz"), (1, "x@y.zz"), (None, None), (2, "")]
     got = pii.pii_spans(docs(spark, rows)).collect()
