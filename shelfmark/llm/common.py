@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.tables import scratch, staged
 
-__all__ = ["global_rank", "located", "members_bitmap", "scratch", "spread_join", "staged", "text_or_empty", "with_maybe", "without"]
+__all__ = ["col", "discard", "global_rank", "located", "members_bitmap", "scratch", "spread_join", "staged", "text_or_empty", "with_maybe", "without"]
 
 #: A group is hot when it holds more than one row in this many, so at most this many are hot.
 HOT_KEYS = 1000
@@ -25,25 +25,48 @@ SPREAD = 64
 #: Bits of the membership bitmap (4 MB as broadcast, whatever the size of the data).
 FILTER_BITS = 1 << 25
 
-ROW_LOCATOR = ("_metadata.file_path", "_metadata.row_index")
+#: Plan nodes above a scan through which a row's address stays that of one row.
+PLAIN = ("Project", "Filter", "SubqueryAlias")
 
 
-def located(docs: DataFrame, file_col: str = "__file", row_col: str = "__row") -> DataFrame:
-    """Add a stable row address: the file's path and the row's index in it.
+def col(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
-    A DataFrame that is not a plain scan of files has no such address; it is staged first.
+
+def is_plain_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a scan of files with filters and projections at most."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in PLAIN:
+        plan = plan.child()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def located(docs: DataFrame, **cols: Column) -> DataFrame:
+    """Columns ``all`` (a struct of the columns of ``docs``), those asked for, and a stable row
+    address: ``file`` and ``row`` (its index in the file).
+
+    The names of ``docs`` can't clash with others, since they are inside ``all``.  A DataFrame
+    that is not a plain scan of files has no address; it is staged first.
     """
-    address = [F.col(c).alias(n) for c, n in zip(ROW_LOCATOR, (file_col, row_col))]
-    try:
-        return docs.select("*", *address)
-    except Exception as error:
-        if "UNRESOLVED_COLUMN" not in str(error):
-            raise
-    return staged(docs, "rows").select("*", *address)
+    wanted = [F.struct(*[col(c) for c in docs.columns]).alias("all"), *[c.alias(n) for n, c in cols.items()]]
+    if not is_plain_scan(docs):
+        docs, wanted = staged(docs.select(*wanted), "rows"), ["*"]
+    at = docs.metadataColumn("_metadata")
+    return docs.select(*wanted, at["file_path"].alias("file"), at["row_index"].alias("row"))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads."""
+    for table in tables:
+        spark, files = table.sparkSession, table.inputFiles()
+        if files:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(text_col: str) -> Column:
-    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.coalesce(col(text_col).cast("string"), F.lit(""))
 
 
 def members_bitmap(keys: DataFrame, *cols: str) -> DataFrame:
@@ -72,16 +95,14 @@ def with_maybe(rows: DataFrame, bitmap: DataFrame, *cols: str, flag: str = "__ma
 
 
 def without(base: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``base`` (with addresses ``__file``, ``__row``) except those at staged addresses
-    (file, row) of ``gone``; the addresses are dropped.
+    """The rows of located ``base`` except those at staged addresses (file, row) of ``gone``, with
+    the columns they had before they were located.
 
     Rows that a bitmap shows not to be among them pass where they are; only the others move.
     """
-    names = [c for c in base.columns if c not in ("__file", "__row")]
-    flagged = with_maybe(base, members_bitmap(gone, "file", "row"), "__file", "__row")
-    at = (F.col("__file") == gone["file"]) & (F.col("__row") == gone["row"])
-    unsure = flagged.where("__maybe").join(gone, at, "left_anti")
-    return flagged.where("not __maybe").select(*names).unionByName(unsure.select(*names))
+    flagged = with_maybe(base.select("all", "file", "row"), members_bitmap(gone, "file", "row"), "file", "row")
+    unsure = flagged.where("__maybe").join(gone, ["file", "row"], "left_anti")
+    return flagged.where("not __maybe").select("all").unionByName(unsure.select("all")).select("all.*")
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, key: str, size_col: str, how: str = "left") -> DataFrame:

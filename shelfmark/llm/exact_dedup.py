@@ -11,8 +11,7 @@ regrouped by their bytes.
 Defined cases: a null text counts as empty; a null identifier is smaller than any other, and
 of rows that tie in the largest identifier the one with the largest locator stays, so exactly
 one row of a group does; very long texts only pass through the digest and the byte comparison;
-an empty table gives an empty result; other columns are ignored, whatever their names (only
-``__file`` and ``__row`` are reserved: they hold a row's address).
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,14 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import (
-    located, members_bitmap, scratch, spread_join, staged, text_or_empty, with_maybe, without,
+    col, located, members_bitmap, scratch, spread_join, staged, text_or_empty, with_maybe, without,
 )
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: State on disk; without preallocated files, which many small stores would fill the disk with.
+#: State on disk, without preallocated files (which many small stores would fill the disk with);
+#: what an executor's stores hold in memory together is bounded.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
 }
 
 
@@ -84,13 +86,13 @@ def exact_dedup(
     bytes_per_batch: int = 16 << 30,
 ) -> DataFrame:
     """One row per row of ``docs``: id, file, row, keep_id, group_size, kept, digest."""
-    text = text_or_empty(text_col)
-    placed = docs if "__file" in docs.columns else located(docs)
-    rows = placed.select(
-        F.col(id_col).alias("id"), F.col("__file").alias("file"), F.col("__row").alias("row"),
-        F.struct(digest(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")).alias("key"),
-        text.alias("text"),
-    )
+    return deduplicated(located(docs, id=col(id_col), text=text_or_empty(text_col)), digest, bytes_per_batch)
+
+
+def deduplicated(placed: DataFrame, digest: Callable[[Column], Column] = sha256, bytes_per_batch: int = 16 << 30) -> DataFrame:
+    """``exact_dedup`` of located rows (id, text, file, row)."""
+    key = F.struct(digest(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
+    rows = placed.select("id", "file", "row", key.alias("key"), "text")
     sightings = staged(rows.drop("text"), "sightings")
     groups = fold(sightings, bytes_per_batch)
     out = spread_join(sightings, groups, "key", "size")
@@ -109,8 +111,8 @@ def exact_dedup(
 
 def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with its columns."""
-    base = located(docs)
-    gone = exact_dedup(base, id_col, text_col).where("not kept").select("file", "row")
+    base = located(docs, id=col(id_col), text=text_or_empty(text_col))
+    gone = deduplicated(base).where("not kept").select("file", "row")
     return without(base, staged(gone, "dropped"))
 
 

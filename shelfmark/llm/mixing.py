@@ -15,7 +15,7 @@ row.
 Defined cases: null or empty texts have size 0 and are never taken; a null source is a source
 of its own, after all others; a null identifier and repeated rows draw keys like any other row
 (equal rows tie, the order among them does not change the result as a multiset); an empty
-table gives an empty result.  Column names starting with ``__`` are reserved.
+table gives an empty result; other columns are free, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import global_rank, staged, text_or_empty
+from shelfmark.llm.common import col, global_rank, staged, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating.
@@ -83,7 +83,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, *carr
     """Rows with what the plan needs: doc_id, source, size, weight, a hash of the text."""
     text = text_or_empty(text_col)
     return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"),
+        col(id_col).alias("doc_id"), col(source_col).cast("string").alias("source"), n_words(text).alias("size"),
         quality(text).alias("weight"), F.xxhash64(text).alias("__text"), *carry,
     )
 
@@ -173,7 +173,7 @@ def mixed_rows(
     """
     rows = staged(measured(docs, id_col, text_col, source_col), "sized")
     plan = mix_plan(rows, share, max_epochs, seed, weights)
-    carried = measured(docs, id_col, text_col, source_col, F.struct(*[docs[c] for c in docs.columns]).alias("__all"))
+    carried = measured(docs, id_col, text_col, source_col, F.struct(*[col(c) for c in docs.columns]).alias("__all"))
     met = taken(carried, plan, seed)
     if whole:
         more = F.when(F.col("__part") * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0))

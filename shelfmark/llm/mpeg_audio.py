@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import col
+
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (MPEG-1 or not, layer), Hz, samples.
 BITRATES = {
     (True, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -277,7 +279,7 @@ def batches_of(rows: Iterable[tuple], weigh, types: list[tuple]) -> Iterator[pa.
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, media (the stored stream)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

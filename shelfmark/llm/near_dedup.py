@@ -18,8 +18,8 @@ the classes are those of testing all candidate pairs.
 
 Defined cases: a null text is empty; texts without words are near-duplicates only if identical;
 a null identifier is smaller than any other; repeated rows are copies; a class's representative
-is the row with the smallest identifier (then address).  Columns ``__file`` and ``__row`` are
-reserved for a row's address; all other columns are free.
+is the row with the smallest identifier (then address).  Other columns are free, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import located, members_bitmap, spread_join, staged, with_maybe, without
-from shelfmark.llm.langid import portions
+from shelfmark.llm.batches import portions
+from shelfmark.llm.common import col, located, members_bitmap, spread_join, staged, with_maybe, without
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -154,16 +154,15 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 SIGNED = "id {kind}, file string, row bigint, h1 bigint, h2 bigint, words bigint, bands array<bigint>"
 
 
-def signed(placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signed(placed: DataFrame) -> DataFrame:
     """One row per text: id, address, digest of its words (two numbers), band keys (if it has words)."""
-    rows = placed.select(F.col(id_col).alias("id"), F.col("__file").alias("file"), F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = placed.select("id", "file", "row", "text")
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            at = 0
-            for part in portions(batch.column(3).to_pylist(), TOGETHER):
+            for a, b, part in portions(batch.column(3), TOGETHER):
                 found = shingler.words(part)
                 of, value, weight = shingler.shingles(found)
                 keys = band_keys(prob_minhash(of, value, weight, len(part)))
@@ -172,8 +171,7 @@ def signed(placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     for w, t in zip(found, part, strict=True)
                 ]
                 halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                own = batch.slice(at, len(part))
-                at += len(part)
+                own = batch.slice(a, b - a)
                 bands = pa.array([k if w else [] for k, w in zip(keys.tolist(), found, strict=True)], pa.list_(pa.int64()))
                 cols = [own.column(0), own.column(1), own.column(2), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
                         pa.array([len(w) for w in found], pa.int64()), bands]
@@ -182,27 +180,25 @@ def signed(placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, SIGNED.format(kind=kind))
 
 
-def weighted(placed: DataFrame, vertices: DataFrame, text_col: str) -> DataFrame:
+def weighted(placed: DataFrame, vertices: DataFrame) -> DataFrame:
     """Shingles of the representatives (v, g, bands, file, row) of vertices: v, g, bands, hashes,
     weights (binary).
 
     Other rows are dropped where they are read, by a bitmap of the addresses.
     """
-    rows = placed.select(F.col("__file").alias("file"), F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = placed.select("file", "row", "text")
     some = with_maybe(rows, members_bitmap(vertices, "file", "row"), "file", "row").where("__maybe").drop("__maybe")
     met = some.join(vertices, ["file", "row"]).select("v", "g", "bands", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            at = 0
-            for part in portions(batch.column(3).to_pylist(), TOGETHER):
+            for first, end, part in portions(batch.column(3), TOGETHER):
                 of, value, weight = shingler.shingles(shingler.words(part))
                 cuts = np.searchsorted(of, np.arange(len(part) + 1))
                 hashes = [value[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 weights = [weight[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                own = batch.slice(at, len(part))
-                at += len(part)
+                own = batch.slice(first, end - first)
                 cols = [own.column(0), own.column(1), own.column(2), pa.array(hashes, pa.binary()), pa.array(weights, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["v", "g", "bands", "hashes", "weights"])
 
@@ -347,9 +343,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                group_rows: int = GROUP_ROWS, group_words: int = GROUP_WORDS) -> DataFrame:
     """One row per row of ``docs``: id, file, row, class_id (identifier of the class's
     representative), class_size, copies (rows with the same words), representative."""
-    spark = docs.sparkSession
-    placed = docs if "__file" in docs.columns else located(docs)
-    rows = staged(signed(placed, id_col, text_col), "signed")
+    return classes_of(placed_texts(docs, id_col, text_col), threshold, group_rows, group_words)
+
+
+def placed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return located(docs, id=col(id_col), text=col(text_col).cast("string"))
+
+
+def classes_of(placed: DataFrame, threshold: float, group_rows: int = GROUP_ROWS, group_words: int = GROUP_WORDS) -> DataFrame:
+    """``near_dedup`` of located rows (id, text, file, row)."""
+    spark = placed.sparkSession
+    rows = staged(signed(placed), "signed")
     vertices = rows.groupBy("h1", "h2").agg(
         F.min(F.struct("id", "file", "row")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("words").alias("words"),
         F.first("bands").alias("bands"),
@@ -368,11 +372,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     large = staged(sizes.where((F.col("n") > group_rows) | (F.col("words") > group_words)).select("g"), "large")
     small = where.join(large, "g", "left_anti").drop("words")
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sets = weighted(placed, staged(small, "small"), text_col).repartition(parts, "g").sortWithinPartitions("g", "v")
+    sets = weighted(placed, staged(small, "small")).repartition(parts, "g").sortWithinPartitions("g", "v")
     labels = staged(sets.mapInArrow(lambda it: clustered(it, threshold), "v bigint, c bigint"), "labels")
     if not large.isEmpty():
         rest = staged(where.join(large, "g", "left_semi").drop("words"), "rest")
-        shingles = staged(weighted(placed, rest, text_col).select("v", "hashes", "weights"), "shingles")
+        shingles = staged(weighted(placed, rest).select("v", "hashes", "weights"), "shingles")
         own = staged(members.join(rest.select("v"), "v", "left_semi").select("key", "v", "n"), "members")
         begin = staged(rest.select("v", F.col("v").alias("c")), "labels")
         labels = labels.unionByName(merged_by_rounds(own, buckets.select("key", "n"), shingles, begin, threshold))
@@ -388,8 +392,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that represent their class, with its columns."""
-    base = located(docs)
-    gone = near_dedup(base, id_col, text_col, threshold).where("not representative").select("file", "row")
+    base = placed_texts(docs, id_col, text_col)
+    gone = classes_of(base, threshold).where("not representative").select("file", "row")
     return without(base, staged(gone, "dropped"))
 
 

@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import staged
+from shelfmark.llm.batches import staged_in_small_batches
+from shelfmark.llm.common import col
 
 CAPACITY = 2048
 END_ID = 0
@@ -95,7 +96,7 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
               with_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, piece, start, length, ids_crc32, ids (or null), and their place among the
     task's pieces of their length.  Stage the result before its places are used."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +211,7 @@ def place(pieces: DataFrame, plan: list[Range]) -> DataFrame:
 def pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text",
          capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
-    pieces = staged(tokenised(docs, vocabulary or byte_bpe_50k(), id_col, text_col, capacity, with_ids), "pieces")
+    pieces = staged_in_small_batches(tokenised(docs, vocabulary or byte_bpe_50k(), id_col, text_col, capacity, with_ids), "pieces")
     counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity rows
     plan = plan_best_fit({r["length"]: r["n"] for r in counts}, capacity)
     out = place(ranked(pieces), plan)

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import col
+
 # Kinds in their order, priors, context words, IBAN lengths by country.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = ("email", "ip", "card", "phone")
@@ -154,7 +156,7 @@ ARROW_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), (
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, spans array<struct<kind,start,end,score>>."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import located, staged, text_or_empty
+from shelfmark.llm.common import col, located, staged, text_or_empty
 
 #: Bits by which cells are finer than shards of average size.
 FINER = 5
@@ -28,10 +28,10 @@ FINER = 5
 BITS = 128
 
 
-def bits_of(*cols: str) -> Column:
+def bits_of(*cols: Column) -> Column:
     """128 characters of 0 and 1."""
     key = F.lpad(F.bin(F.xxhash64(*cols)), 64, "0")
-    row = F.lpad(F.bin(F.xxhash64(F.lit("row"), F.col("__file"), F.col("__row"))), 64, "0")
+    row = F.lpad(F.bin(F.xxhash64(F.lit("row"), F.col("file"), F.col("row"))), 64, "0")
     return F.concat(key, row)
 
 
@@ -61,9 +61,8 @@ def shard(docs: DataFrame, limit: int, keys: tuple = ("doc_id",), text_col: str
     """One row per row of ``docs``: doc_id, n_bytes, shard (hash prefix), depth, shard_bytes,
     shard_rows, over_limit."""
     rows = staged(
-        located(docs).select(
-            F.col(id_col).alias("doc_id"), F.octet_length(text_or_empty(text_col)).cast("long").alias("n_bytes"),
-            bits_of(*keys).alias("bits"),
+        located(docs, doc_id=col(id_col), n_bytes=F.octet_length(text_or_empty(text_col)).cast("long"), key=F.struct(*[col(k) for k in keys])).select(
+            "doc_id", "n_bytes", bits_of(F.col("key.*")).alias("bits")
         ),
         "hashed",
     )

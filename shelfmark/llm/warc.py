@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import scratch, spread_join, staged
+from shelfmark.llm.common import col, scratch, spread_join, staged
 
 END = "\r\n\r\n"
 CHUNK_BYTES = 1 << 16
@@ -102,8 +102,8 @@ def records(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                    chunk_bytes: int = CHUNK_BYTES) -> None:
     """Write one logical record per row of ``pages`` to gzipped WARC files in a new folder."""
-    html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
+    html = F.coalesce(col(html_col).cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(col(id_col).alias("page_id"), col(url_col).cast("string").alias("url"), html.alias("payload"))
     out = records(rows, chunk_bytes).select(F.col("record").cast("string").alias("value"))
     out.write.option("lineSep", END).option("compression", "gzip").text(path)
 
