@@ -421,19 +421,39 @@ def brute_repeats(rows, n=50):
     return out
 
 
-@pytest.mark.parametrize("long_lanes", [False, True])
-def test_repeats(spark, long_lanes, monkeypatch):
+def repeat_rows():
     rng = random.Random(9)
     passages = ["".join(rng.choice("abé ") for _ in range(rng.randint(30, 200))) for _ in range(6)]
     rows = []
-    for i in range(80):
+    for _ in range(80):
         parts = [rng.choice(passages)[rng.randint(0, 20) :] if rng.random() < 0.6 else "".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(4)]
         rows.append((rng.randint(0, 60), "".join(parts)))
     rows += [(70, rows[0][1]), (3, rows[1][1]), (None, passages[0]), (71, None), (72, ""), (73, "a" * 500), (74, "a" * 60), (75, "x" * 49), (76, "x" * 49), (77, "y" * 50), (78, "y" * 50)]
-    if long_lanes:
-        expected = [x.tolist() for x in repeats.first_by_suffixes([[(b"ab" * 40, 3), (b"ba" * 30, 1)]], 50)[0]]
-        assert [x.tolist() for x in repeats.first_by_sorting([(b"ab" * 40, 3), (b"ba" * 30, 1)], 50)] == expected
-        return
-    got = repeats.repeated(docs(spark, rows), with_text=True).collect()
+    # many different contexts of one anchor, some of them shared, and long runs of one byte
+    common = "the very same anchor of bytes"
+    sides = ["".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(25)]
+    rows += [(100 + i, rng.choice(sides) + common + rng.choice(sides)) for i in range(150)]
+    return rows + [(300, "z" * 5000), (301, "z" * 1234 + "ab" * 700), (302, "ba" * 900 + "z" * 77)]
+
+
+@pytest.mark.parametrize("lane", [4096, 400])
+def test_repeats(spark, lane, monkeypatch):
+    rows = repeat_rows()
+    monkeypatch.setattr(repeats, "LANE", lane)
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, id string, key int").repartition(3)
+    got = repeats.repeated(frame, with_text=True).collect()
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got) == brute_repeats(rows)
-    assert repeats.repeated(docs(spark, [])).count() == 0
+    if lane == 4096:
+        assert repeats.repeated(docs(spark, [])).count() == 0
+
+
+def test_repeats_tells_contexts_apart(spark):
+    """Two contexts under one name are noticed."""
+    text = "the same words again and again, for more than fifty bytes, "
+    rows = [(1, text + "x" * 20), (2, text + "y" * 20), (3, "z" * 20 + text)]
+    found = [(7, t.encode(), i) for i, t in rows]
+    frame = spark.createDataFrame(found, "hash bigint, context binary, id bigint")
+    kinds = repeats.distinct_contexts(frame, 1)
+    assert repeats.smallest_of_windows(repeats.staged(kinds, "kinds"), 50, 1).count() == 2  # the first one loses nothing
+    kinds = repeats.distinct_contexts(frame, 1).withColumn("name", F.lit(0).cast("long"))
+    assert repeats.smallest_of_windows(repeats.staged(kinds, "kinds"), 50, 1) is None
