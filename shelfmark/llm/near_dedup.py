@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.batches import portions
+from shelfmark.llm.batches import portions, staged_in_small_batches
 from shelfmark.llm.common import col, located, members_bitmap, spread_join, staged, with_maybe, without
 
 WORD = re.compile(r"\w+")
@@ -41,8 +41,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-CACHE = 150_000
-#: Texts are hashed together up to this many characters, which bounds the memory of a worker.
+CACHE = 100_000
+#: Texts are hashed together up to this many bytes, which bounds the memory of a worker.
 TOGETHER = 1_000_000
 #: Pivots that a bucket compares its members with, by round (the last number repeats).
 PIVOTS = (1, 8, 64)
@@ -260,10 +260,14 @@ def clustered(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[p
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) with ``linked``: whether their exact similarity reaches the threshold."""
-    left = shingles.select(F.col("v").alias("a"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"))
-    right = shingles.select(F.col("v").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb")
+    """Staged pairs (p, v) with ``linked``: whether their exact similarity reaches the threshold.
+
+    A pivot p may have many pairs: these are dealt over salts.
+    """
+    pivots = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).join(
+        shingles.select(F.col("v").alias("p"), F.col("hashes").alias("ha"), F.col("weights").alias("wa")), "p")
+    right = shingles.select("v", F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
+    met = spread_join(pairs, staged(pivots, "sets"), "p", "n", "inner").join(right, "v").select("p", "v", "ha", "wa", "hb", "wb")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,9 +276,9 @@ def verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFra
                 x = np.frombuffer(ha.as_buffer(), "<u8"), np.frombuffer(wa.as_buffer(), "<u4")
                 y = np.frombuffer(hb.as_buffer(), "<u8"), np.frombuffer(wb.as_buffer(), "<u4")
                 linked.append(probability_jaccard(x, y) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["p", "v", "linked"])
 
-    return met.mapInArrow(run, "a bigint, b bigint, linked boolean")
+    return met.mapInArrow(run, "p bigint, v bigint, linked boolean")
 
 
 def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -298,9 +302,9 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
             up = hooks.select(F.col("from").alias("to"), F.col("to").alias("further"))
             hooks = hooks.join(up, "to", "left").select("from", F.coalesce("further", "to").alias("to"))
         hooks = staged(hooks, "hooks")
-        labels = staged(
-            labels.join(hooks, labels["c"] == hooks["from"], "left").select("v", F.coalesce("to", "c").alias("c")), "labels"
-        )
+        sizes = labels.groupBy("c").agg(F.count(F.lit(1)).alias("n"))  # a component may hold most vertices
+        moved = staged(hooks.select(F.col("from").alias("c"), "to").join(sizes, "c"), "moved")
+        labels = staged(spread_join(labels, moved, "c", "n").select("v", F.coalesce("to", "c").alias("c")), "labels")
         edges = edges.join(hooks.select(F.col("from").alias("x"), F.col("to").alias("nx")), "x", "left").select(
             F.coalesce("nx", "x").alias("x"), "y")
         edges = edges.join(hooks.select(F.col("from").alias("y"), F.col("to").alias("ny")), "y", "left").select(
@@ -330,10 +334,11 @@ def merged_by_rounds(members: DataFrame, buckets: DataFrame, shingles: DataFrame
             return labels
         sized = pivots.groupBy("key").agg(F.collect_list(F.struct("p", "pc")).alias("ps")).join(buckets, "key")  # at most `count` each
         met = spread_join(fresh.drop("degree"), sized, "key", "n", "inner").select("v", "c", F.explode("ps").alias("q"))
-        pairs = met.where("v <> q.p AND c <> q.pc").select(F.least("v", "q.p").alias("a"), F.greatest("v", "q.p").alias("b")).distinct()
+        pairs = met.where("v <> q.p AND c <> q.pc").select("q.p", "v").distinct()
+        ends = [F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b")]
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        results = staged(verified(staged(pairs, "pairs"), shingles, threshold), "results")
+            pairs = pairs.select("*", *ends).join(tested, ["a", "b"], "left_anti").select("p", "v")
+        results = staged_in_small_batches(verified(staged(pairs, "pairs"), shingles, threshold), "results").select("linked", *ends)
         tested = results.select("a", "b") if tested is None else tested.unionByName(results.select("a", "b"))
         done = done.unionByName(pivots.select("key", F.col("p").alias("v")))
         labels = merge_components(labels, results.where("linked"))
@@ -353,7 +358,7 @@ def placed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def classes_of(placed: DataFrame, threshold: float, group_rows: int = GROUP_ROWS, group_words: int = GROUP_WORDS) -> DataFrame:
     """``near_dedup`` of located rows (id, text, file, row)."""
     spark = placed.sparkSession
-    rows = staged(signed(placed), "signed")
+    rows = staged_in_small_batches(signed(placed), "signed")
     vertices = rows.groupBy("h1", "h2").agg(
         F.min(F.struct("id", "file", "row")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("words").alias("words"),
         F.first("bands").alias("bands"),
@@ -373,16 +378,17 @@ def classes_of(placed: DataFrame, threshold: float, group_rows: int = GROUP_ROWS
     small = where.join(large, "g", "left_anti").drop("words")
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = weighted(placed, staged(small, "small")).repartition(parts, "g").sortWithinPartitions("g", "v")
-    labels = staged(sets.mapInArrow(lambda it: clustered(it, threshold), "v bigint, c bigint"), "labels")
+    labels = staged_in_small_batches(sets.mapInArrow(lambda it: clustered(it, threshold), "v bigint, c bigint"), "labels")
     if not large.isEmpty():
         rest = staged(where.join(large, "g", "left_semi").drop("words"), "rest")
-        shingles = staged(weighted(placed, rest).select("v", "hashes", "weights"), "shingles")
+        shingles = staged_in_small_batches(weighted(placed, rest).select("v", "hashes", "weights"), "shingles")
         own = staged(members.join(rest.select("v"), "v", "left_semi").select("key", "v", "n"), "members")
         begin = staged(rest.select("v", F.col("v").alias("c")), "labels")
         labels = labels.unionByName(merged_by_rounds(own, buckets.select("key", "n"), shingles, begin, threshold))
-    classed = vertices.join(labels, "v", "left").select("h1", "h2", "rep", "copies", F.coalesce("c", "v").alias("c"))
-    classes = staged(classed.groupBy("c").agg(F.min("rep").alias("best"), F.sum("copies").alias("class_size")), "classes")
-    of = staged(classed.join(classes, "c").select(F.struct("h1", "h2").alias("key"), "copies", "best", "class_size"), "classed")
+    classed = staged(vertices.join(labels, "v", "left").select("h1", "h2", "rep", "copies", F.coalesce("c", "v").alias("c")), "labelled")
+    best = classed.groupBy("c").agg(F.min("rep").alias("best"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n"))
+    met = spread_join(classed, staged(best, "classes"), "c", "n", "inner")
+    of = staged(met.select(F.struct("h1", "h2").alias("key"), "copies", "best", "class_size"), "classed")
     out = spread_join(rows.select("id", "file", "row", F.struct("h1", "h2").alias("key")), of, "key", "copies")
     return out.select(
         "id", "file", "row", F.col("best.id").alias("class_id"), "class_size", "copies",
