@@ -9,8 +9,9 @@ prefix sum over their sizes ends at the budget.  The document at the end gives t
 words that still fit, so a source's taken words equal its target rounded down.
 
 No source is sorted in one task.  Keys map monotonically to about ``sqrt(n)`` cells per source;
-sums per cell show the one cell in which the budget ends, and only that cell is ordered row by
-row.
+sums per cell show the one cell in which the budget ends.  A cell of more than ``EDGE_ROWS`` rows
+(keys follow the qualities, so cells are uneven) is cut into cells again, as often as needed; only
+the last one is ordered row by row.
 
 Defined cases: null or empty texts have size 0 and are never taken; a null source is a source
 of its own, after all others; a null identifier and repeated rows draw keys like any other row
@@ -27,6 +28,10 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import col, global_rank, staged, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of the cell that is ordered in one task, at most (rows with one key can't be told apart);
+#: cells into which a larger one is cut.
+EDGE_ROWS = 20_000
+FINER_CELLS = 256
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 
@@ -89,15 +94,33 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, *carr
 
 
 def keyed(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
-    """Rows joined with their source's plan, with exponential key and cell."""
-    out = join_sources(rows, plan).withColumn("es_key", -F.log(uniform(seed, "doc_id", "__text")) / F.col("weight"))
-    # exp(-key) is uniform for weight 1 and falls with the key: cells in order of key
-    return out.withColumn("__cell", F.floor((1 - F.exp(-F.col("es_key"))) * F.col("__cells")).cast("int"))
+    """Rows joined with their source's plan, with their exponential key."""
+    return join_sources(rows, plan).withColumn("es_key", -F.log(uniform(seed, "doc_id", "__text")) / F.col("weight"))
+
+
+def edge_of(cells: DataFrame) -> DataFrame:
+    """The cell of each source in which its budget ends: keys, rows, and the sizes before it.
+
+    cells: (source, __cell, n, rows, lo, hi, __rest, __from), the sizes before the first one."""
+    upto = W.partitionBy("source").orderBy("__cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = cells.withColumn("__upto", F.col("__from") + F.sum("n").over(upto)).withColumn("__before", F.col("__upto") - F.col("n"))
+    return met.where("__before < __rest AND __upto >= __rest").select(
+        F.col("source").alias("__of"), "__before", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), "rows"
+    )
+
+
+def summed(rows: DataFrame, before: Column) -> DataFrame:
+    return rows.groupBy("source", "__cell").agg(
+        F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("es_key").alias("lo"), F.max("es_key").alias("hi"),
+        F.first("__rest").alias("__rest"), F.first(before).alias("__from"),
+    )
 
 
 def mix_plan(rows: DataFrame, share: float, max_epochs: float, seed: str, weights: tuple) -> DataFrame:
-    """One row per source: target, complete epochs, and the cell in which the budget ends."""
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    """One row per source: target, complete epochs, and the keys between which the budget ends."""
+    by_source = rows.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"), F.avg("weight").alias("__mean")
+    )
     plan = source_targets(by_source, share, max_epochs, weights)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("__rest", F.floor(F.col("target")) - F.col("epochs") * F.col("source_size"))
@@ -105,20 +128,24 @@ def mix_plan(rows: DataFrame, share: float, max_epochs: float, seed: str, weight
         plan.withColumn("__cells", F.greatest(F.lit(16), F.least(F.lit(1 << 16), F.ceil(F.sqrt("n_docs")))))
         .drop("n_docs").withColumnRenamed("source", "__source"), "plan",
     )
-    cells = keyed(rows, plan, seed).groupBy("source", "__cell").agg(F.sum("size").alias("n"), F.first("__rest").alias("__rest"))
-    upto = W.partitionBy("source").orderBy("__cell").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cells = cells.withColumn("__upto", F.sum("n").over(upto)).withColumn("__before", F.col("__upto") - F.col("n"))
-    edge = cells.where("__before < __rest AND __upto >= __rest").select(
-        F.col("source").alias("__of"), F.col("__cell").alias("__edge"), "__before"
-    )
-    return staged(plan.join(edge, F.col("__source").eqNullSafe(F.col("__of")), "left").drop("__of"), "edges")
+    # exp(-key * weight) is uniform and falls with the key: cells in order of key
+    first = F.floor((1 - F.exp(-F.col("es_key") * F.col("__mean"))) * F.col("__cells")).cast("int")
+    edges = staged(edge_of(summed(keyed(rows, plan, seed).withColumn("__cell", first), F.lit(0).cast("long"))), "edges")
+    wide = (F.col("rows") > EDGE_ROWS) & (F.col("__lo") < F.col("__hi"))
+    while not edges.where(wide).isEmpty():
+        open_edges = edges.where(wide).select(F.col("__of").alias("__in"), "__before", "__lo", "__hi")
+        inside = join_sources(keyed(rows, plan, seed), open_edges, "__in").where("es_key BETWEEN __lo AND __hi")
+        finer = F.floor((F.col("es_key") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * FINER_CELLS).cast("int")
+        closer = edge_of(summed(inside.withColumn("__cell", finer), F.col("__before")))
+        edges = staged(edges.where(~wide).unionByName(closer), "edges")
+    return staged(plan.join(edges.drop("rows"), F.col("__source").eqNullSafe(F.col("__of")), "left").drop("__of", "__mean", "__cells"), "plan")
 
 
 def taken(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
     """Rows with ``taken``; only those of the cells in which a budget ends are moved and ordered."""
     placed = keyed(rows, plan, seed)
-    at = F.coalesce(F.col("__cell") == F.col("__edge"), F.lit(False))
-    inside = F.coalesce(F.col("__cell") < F.col("__edge"), F.lit(False))
+    at = F.coalesce(F.col("es_key").between(F.col("__lo"), F.col("__hi")), F.lit(False))
+    inside = F.coalesce(F.col("es_key") < F.col("__lo"), F.lit(False))
     plain = placed.where(~at).withColumn("__part", F.when(inside, F.col("size")).otherwise(F.lit(0)).cast("long"))
     order = W.partitionBy("source").orderBy("es_key", "doc_id", "__text").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("__before") + F.coalesce(F.sum("size").over(order), F.lit(0))
@@ -147,11 +174,11 @@ def mix(
 BROADCAST_SOURCES = 100_000
 
 
-def join_sources(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    """Left join on ``source`` = ``__source``; nulls match."""
+def join_sources(rows: DataFrame, per_source: DataFrame, of: str = "__source") -> DataFrame:
+    """Left join on ``source`` = ``of``; nulls match."""
     few = per_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     side = F.broadcast(per_source) if few else per_source
-    return rows.join(side, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    return rows.join(side, F.col("source").eqNullSafe(F.col(of)), "left").drop(of)
 
 
 def mixed_rows(

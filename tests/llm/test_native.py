@@ -66,7 +66,9 @@ def brute_targets(sizes, share=1.5, most=2.0):
     return target
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("edge_rows", [20_000, 2])
+def test_mixing(spark, edge_rows, monkeypatch):
+    monkeypatch.setattr(mixing, "EDGE_ROWS", edge_rows)
     rows = [(i, " ".join(["w"] * (i * 7 % 23)), ["é", "b", "a", None, "𐀀", "￿"][i * i % 6] if i % 3 else "b") for i in range(300)]
     rows += [(1000, None, "a"), (1001, "x\ty\rz", "a"), (1001, "x\ty\rz", "a"), (None, "q r", "b")]
     got = mixing.mix(docs(spark, rows)).collect()
