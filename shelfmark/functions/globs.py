@@ -1,8 +1,10 @@
-"""Glob patterns as regular expressions that Java and RE2 both take (no look-around).
+"""Glob patterns as regular expressions for whole relative paths.
 
-Supported: ``*``, ``**`` as a whole segment, ``?``, ``[...]``, ``[!...]``, ``{a,b}`` and ``\\``
-escapes.  Extended patterns such as ``+(a|b)`` raise ValueError.  Unless ``dot`` is set, a
-wildcard at the start of a segment does not match a leading dot.
+Supported: ``*``, ``**`` as a whole segment, ``?``, ``[...]``, ``[!...]``, ``{a,b}``, ``{1..3}``,
+``{a..c}``, ``\\`` escapes, the extended patterns ``?(a|b)``, ``*(a|b)``, ``+(a|b)``, ``@(a|b)`` and
+``!(a|b)``, and a leading ``!`` that negates the whole pattern.  Unless ``dot`` is set, a wildcard
+at the start of a segment does not match a leading dot.  A last ``**`` matches whatever is
+below, a trailing slash included.  Only the two negations need look-ahead (Java has it).
 """
 
 from __future__ import annotations
@@ -10,9 +12,28 @@ from __future__ import annotations
 import re
 from functools import cache
 
+#: Most strings that one numeric or letter range stands for.
+RANGE = 10_000
+
+
+def _range(body: str) -> list[str] | None:
+    """The strings of ``1..3``, ``a..c`` or ``01..10..2``; None if it is no range."""
+    m = re.fullmatch(r"(-?[0-9]+)\.\.(-?[0-9]+)(?:\.\.(-?[0-9]+))?|([A-Za-z])\.\.([A-Za-z])(?:\.\.(-?[0-9]+))?", body)
+    if not m:
+        return None
+    number = m[1] is not None
+    first, last = (int(m[1]), int(m[2])) if number else (ord(m[4]), ord(m[5]))
+    step = abs(int(m[3] or m[6] or 1)) or 1
+    if abs(last - first) // step >= RANGE:
+        raise ValueError(f"range is too long: {{{body}}}")
+    values = range(first, last + (1 if last >= first else -1), step if last >= first else -step)
+    padded = number and any(len(x.lstrip("-")) > 1 and x.lstrip("-")[0] == "0" for x in (m[1], m[2]))
+    width = max(len(m[1]), len(m[2])) if padded else 0
+    return [f"{v:0{width}d}" if number else chr(v) for v in values]
+
 
 def _braces(pattern: str) -> list[str]:
-    """Alternatives of the first outermost ``{a,b}``, expanded recursively."""
+    """Alternatives of the first outermost ``{a,b}`` or range, expanded recursively."""
     depth, start, cuts = 0, -1, []
     for i, c in enumerate(pattern):
         if c == "{":
@@ -23,31 +44,57 @@ def _braces(pattern: str) -> list[str]:
             cuts.append(i)
         elif c == "}" and depth:
             depth -= 1
-            if depth == 0 and len(cuts) > 1:
-                parts = [pattern[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], i], strict=True)]
-                return [x for p in parts for x in _braces(pattern[:start] + p + pattern[i + 1 :])]
+            if depth == 0:
+                values = _range(pattern[start + 1 : i])
+                if len(cuts) > 1:
+                    values = [pattern[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], i], strict=True)]
+                if values is not None:
+                    return [x for v in values for x in _braces(pattern[:start] + v + pattern[i + 1 :])]
     return [pattern]
 
 
-def _segment(seg: str, dot: bool) -> str:
+def _group(seg: str, at: int) -> tuple[list[str], int] | None:
+    """Alternatives of the parenthesis that opens at ``at``, and where it closes; None if it doesn't."""
+    depth, cuts = 0, [at]
+    for i in range(at, len(seg)):
+        if seg[i] == "(":
+            depth += 1
+        elif seg[i] == ")":
+            depth -= 1
+            if depth == 0:
+                return [seg[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], i], strict=True)], i
+        elif seg[i] == "|" and depth == 1:
+            cuts.append(i)
+    return None
+
+
+def _segment(seg: str, dot: bool, start: bool = True) -> str:
+    """``start``: whether the text begins here, where a leading dot counts."""
     out, i, n = [], 0, len(seg)
     while i < n:
-        c = seg[i]
-        if c in "+@!?*" and seg[i + 1 : i + 2] == "(":
-            raise ValueError(f"extended glob is not supported: {seg}")
+        c, begin = seg[i], start and i == 0
+        if c in "+@!?*" and seg[i + 1 : i + 2] == "(" and (found := _group(seg, i + 1)):
+            options = "|".join(_segment(o, dot, begin) for o in found[0])
+            if c == "!":
+                rest = _segment(seg[found[1] + 1 :], dot, False)
+                plain = "" if dot or not begin else r"(?!\.)"
+                return "".join(out) + f"{plain}(?!(?:{options}){rest}(?:/|$))[^/]*{rest}"
+            out.append(f"(?:{options})" + c.replace("@", ""))
+            i = found[1] + 1
+            continue
         if c == "*":
             j = i
             while j < n and seg[j] == "*":
                 j += 1
-            if i == 0 and not dot:
+            if begin and not dot:
                 some = r"[^/.][^/]*"
                 out.append(some if j == n or seg[j] in ".*?[" else f"(?:{some})?")
             else:
-                out.append("[^/]+" if i == 0 and j == n else "[^/]*")
+                out.append("[^/]+" if begin and j == n else "[^/]*")
             i = j
             continue
         if c == "?":
-            out.append("[^/.]" if i == 0 and not dot else "[^/]")
+            out.append("[^/.]" if begin and not dot else "[^/]")
         elif c == "[" and (end := seg.find("]", i + 2)) > 0:
             body = seg[i + 1 : end]
             negated = body[0] in "!^"
@@ -63,14 +110,27 @@ def _segment(seg: str, dot: bool) -> str:
     return "".join(out)
 
 
+def _split(pattern: str) -> list[str]:
+    """Segments; a slash within a parenthesis does not separate."""
+    parts, depth = [""], 0
+    for i, c in enumerate(pattern):
+        opens = c == "(" and i and pattern[i - 1] in "+@!?*"
+        depth += bool(opens or (depth and c == "(")) - bool(depth and c == ")")
+        if c == "/" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
 def _one(pattern: str, dot: bool) -> str:
     any_segment = "[^/]+" if dot else r"[^/.][^/]*"
-    parts = pattern.split("/")
+    parts = _split(pattern)
     out = []
     for k, seg in enumerate(parts):
         last = k == len(parts) - 1
         if seg == "**":
-            out.append(f"{any_segment}(?:/{any_segment})*" if last else f"(?:{any_segment}/)*")
+            out.append(f"{any_segment}(?:/{any_segment})*/?" if last else f"(?:{any_segment}/)*")
         else:
             out.append(_segment(seg, dot) + ("" if last else "/"))
     return "".join(out)
@@ -79,5 +139,7 @@ def _one(pattern: str, dot: bool) -> str:
 @cache
 def glob_regex(pattern: str, dot: bool = False) -> str:
     """Anchored regular expression of a glob over whole relative paths."""
-    options = [_one(p, dot) for p in _braces(pattern)]
-    return "^(?:" + "|".join(options) + ")$"
+    bare = pattern.lstrip("!") if not pattern.startswith("!(") else pattern
+    options = "|".join(_one(p, dot) for p in _braces(bare))
+    negated = (len(pattern) - len(bare)) % 2
+    return f"^(?!(?:{options})$)(?s:.*)$" if negated else f"^(?:{options})$"

@@ -13,7 +13,7 @@ from shelfmark.config import CAMEL, KEBAB, PASCAL, SNAKE, NamingConvention
 from shelfmark.functions.paths import raw_extension, stem
 
 # Fixed value: white space of an ECMAScript regular expression.
-SPACE = r"\t\n\x0B\f\r \xA0  -     　﻿"
+SPACE = r"\t\n\x0B\f\r \xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
 
 def kebab(name: Column) -> Column:

@@ -20,13 +20,20 @@ CONFLICT = "Target file already exists: "
 BLOCKED = "Target directory is a file: "
 
 
-def resolve_conflicts(operations: DataFrame, present: DataFrame) -> DataFrame:
+def with_target_exists(operations: DataFrame, present: DataFrame) -> DataFrame:
+    """The existence probe: operations + ``target_exists``, whether a present path is their target."""
+    there = present.select(F.col("path").alias("new_path")).distinct().withColumn("__there", F.lit(True))
+    return operations.join(there, "new_path", "left").withColumn("target_exists", F.coalesce("__there", F.lit(False))).drop("__there")
+
+
+def resolve_conflicts(operations: DataFrame, present: DataFrame, is_staged: bool = False) -> DataFrame:
     """operations + (status, error), as sequential execution would give them.
 
     present: all paths at the start (``path``, optionally ``is_file``), hidden and excluded ones
     and directories too.  Without ``is_file``, no path counts as a file in a directory's place.
+    Operations are read several times, so they are staged unless they are already.
     """
-    ops = operations = staged(operations, "operations")  # it is read several times
+    ops = operations = operations if is_staged else staged(operations, "operations")
     if "is_file" in present.columns:
         files = present.where("is_file").select(F.col("path").alias("__dir")).distinct()
         ops = ops.withColumn("__dir", dirname(F.col("new_path"))).join(files.withColumn("__blocked", F.lit(True)), "__dir", "left").drop("__dir")

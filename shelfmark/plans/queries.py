@@ -6,6 +6,7 @@ repeat (collisions) and have spaces (renames), extensions vary in case.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,11 @@ from shelfmark.config import CAMEL, KEBAB, PASCAL, SNAKE, Config, NamingConventi
 from shelfmark.functions import guards, naming, paths
 from shelfmark.operators import conflicts, logs, manifest, planning, summary
 from shelfmark.operators.classify import classify, classify_by_table, rule_table, with_names
+from shelfmark.operators.execution import execute
 from shelfmark.sinks import rows
-from shelfmark.sources.inventory import excluded, hidden
+from shelfmark.sources.inventory import excluded, hidden, listing, scan
 from shelfmark.sources.json_text import safe_parse
+from shelfmark.tables import scratch, staged
 
 BASE = "/base"
 EXTENSIONS = (".jpg", ".PDF", ".txt", ".Ts", ".csv", ".zip", ".mp3", ".pptx", ".xyz", "", ".MD", ".tar.gz")
@@ -49,14 +52,18 @@ def operations(spark: SparkSession, sf_dir: str, config: Config = CONFIG) -> Dat
     return planning.plan_operations(classified(spark, sf_dir), config, BASE)
 
 
-def present(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All files, and targets that are taken already."""
-    taken = operations(spark, sf_dir).where("scan_index % 97 = 0").select(F.col("new_path").alias("path"))
-    return inventory(spark, sf_dir).select(F.col("original_path").alias("path")).unionByName(taken)
+def planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Staged operations, and the paths at the start: all files, and targets that are taken already.
+
+    Both read the staged table, so the naming chain is evaluated once.
+    """
+    ops = staged(operations(spark, sf_dir), "planned")
+    taken = ops.where("scan_index % 97 = 0").select(F.col("new_path").alias("path"))
+    return ops, inventory(spark, sf_dir).select(F.col("original_path").alias("path")).unionByName(taken)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conflicts.resolve_conflicts(operations(spark, sf_dir), present(spark, sf_dir))
+    return conflicts.resolve_conflicts(*planned(spark, sf_dir), is_staged=True)
 
 
 # --- SQL for the same -------------------------------------------------------------------------
@@ -252,8 +259,48 @@ def exclude_filter(spark, sf_dir):
 
 @query("existence_probe", f"WITH {ops_sql()}, {PRESENT} SELECT scan_index, new_path IN (SELECT path FROM present) AS target_exists FROM ops")
 def existence_probe(spark, sf_dir):
-    there = present(spark, sf_dir).select(F.col("path").alias("new_path")).distinct().withColumn("there", F.lit(True))
-    return operations(spark, sf_dir).join(there, "new_path", "left").select("scan_index", F.coalesce("there", F.lit(False)).alias("target_exists"))
+    ops, there = planned(spark, sf_dir)
+    return conflicts.with_target_exists(ops, there).select("scan_index", "target_exists")
+
+
+# --- files on disk ----------------------------------------------------------------------------
+
+
+def tree(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder with a file for each of the 25 nations, a hidden and an excluded one."""
+    root = scratch(spark, "tree").removeprefix("file://")
+    ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("n_nationkey") % len(EXTENSIONS) + 1).cast("int"))
+    rel = F.concat("n_regionkey", F.lit("/deep/"), "n_name", ext)
+    files = [(r.path, r.size) for r in table(spark, sf_dir, "nation").select(rel.alias("path"), (F.col("n_nationkey") * 7).alias("size")).collect()]
+    for path, size in [*files, (".hidden/x.txt", 1), ("node_modules/y.txt", 1)]:
+        os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+        with open(f"{root}/{path}", "wb") as f:
+            f.write(b"x" * size)
+    return root
+
+
+_TREE = f"""tree AS (SELECT *, regexp_extract(rel_path, '[^/]*$') AS filename, {ext_sql("rel_path")} AS extension FROM (
+  SELECT n_regionkey || '/deep/' || n_name || ([{_EXT_LIST}])[CAST(n_nationkey % {len(EXTENSIONS)} AS INT) + 1] AS rel_path, CAST(n_nationkey * 7 AS BIGINT) AS size FROM nation)),
+rules(ord, name, ext) AS (VALUES {_RULES}),
+scanned AS (SELECT t.*, category, category AS target_folder, {named_sql("filename", "kebab")} AS suggested_name FROM tree t LEFT JOIN (
+  SELECT rel_path AS p, arg_min(name, ord) AS category FROM tree JOIN rules ON extension = ext GROUP BY 1) ON p = rel_path)"""
+
+
+@query("scan_tree", f"WITH {_TREE} SELECT rel_path, filename, extension, size, category, target_folder, suggested_name, filename <> suggested_name AS needs_rename FROM scanned")
+def scan_tree(spark, sf_dir):
+    files = scan(spark, tree(spark, sf_dir), CONFIG)
+    return files.select("rel_path", "filename", "extension", "size", "category", "target_folder", "suggested_name", "needs_rename")
+
+
+@query("execute_tree", f"""WITH {_TREE}, moved AS (SELECT *, CASE WHEN category IS NULL THEN regexp_replace(rel_path, '/[^/]*$', '') ELSE category END || '/' || suggested_name AS new_path FROM scanned)
+SELECT rel_path AS source, new_path AS target, 'success' AS status, size FROM moved WHERE new_path <> rel_path""")
+def execute_tree(spark, sf_dir):
+    """Scan, plan, rename the files, and list where they are now."""
+    root = tree(spark, sf_dir)
+    done = staged(execute(planning.plan_operations(scan(spark, root, CONFIG), CONFIG, root)), "done")
+    below = [F.substring(c, len(root) + 2, 1 << 20).alias(n) for c, n in (("original_path", "source"), ("new_path", "target"))]
+    now = listing(spark, root).where("is_file").select(F.col("rel_path").alias("target"), "size")
+    return done.select(*below, "status").join(now, "target")
 
 
 # --- planning, execution, counts --------------------------------------------------------------

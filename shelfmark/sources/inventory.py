@@ -27,6 +27,17 @@ SCHEMA = "rel_path string, size bigint, is_file boolean"
 BATCH = 10_000
 
 
+def entries(folder: str, required: bool) -> list[os.DirEntry]:
+    """What a folder holds; nothing if it can't be read, unless it is required."""
+    try:
+        with os.scandir(folder) as found:
+            return list(found)
+    except OSError:
+        if required:
+            raise
+        return []
+
+
 class Folder(InputPartition):
     def __init__(self, rel: str, recursive: bool):
         self.rel, self.recursive = rel, recursive
@@ -43,7 +54,7 @@ class InventoryReader(DataSourceReader):
         for depth in range(2):
             following = []
             for rel in level:
-                for entry in sorted(os.scandir(os.path.join(self.root, rel)), key=lambda e: e.name):
+                for entry in sorted(entries(os.path.join(self.root, rel), required=not rel), key=lambda e: e.name):
                     path = f"{rel}/{entry.name}" if rel else entry.name
                     if entry.is_dir(follow_symlinks=False) and path not in self.pruned:
                         following.append(path)
@@ -63,16 +74,15 @@ class InventoryReader(DataSourceReader):
         todo = [partition.rel]
         while todo:
             rel = todo.pop()
-            with os.scandir(os.path.join(self.root, rel)) as found:
-                for entry in found:
-                    path = f"{rel}/{entry.name}" if rel else entry.name
-                    try:
-                        stat = entry.stat()
-                        rows.append((path, stat.st_size, entry.is_file()))
-                    except OSError:  # a dangling link: present, but no file
-                        rows.append((path, 0, False))
-                    if partition.recursive and entry.is_dir(follow_symlinks=False):
-                        todo.append(path)
+            for entry in entries(os.path.join(self.root, rel), required=not rel):
+                path = f"{rel}/{entry.name}" if rel else entry.name
+                try:
+                    stat = entry.stat()
+                    rows.append((path, stat.st_size, entry.is_file()))
+                except OSError:  # a dangling link: present, but no file
+                    rows.append((path, 0, False))
+                if partition.recursive and entry.is_dir(follow_symlinks=False):
+                    todo.append(path)
             if len(rows) >= BATCH:
                 yield batch()
                 rows.clear()

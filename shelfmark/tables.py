@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch(spark: SparkSession, name: str) -> str:
     """A new, empty path in the folder of ``spark.checkpoint.dir``.
 
-    Only where a session has none (tests), a temporary folder becomes its value.
+    Only where a session on one machine has none (tests), a temporary folder becomes its value;
+    on a cluster, whose executors would not see such a folder, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/shelfmark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

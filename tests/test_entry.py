@@ -10,22 +10,23 @@ import __spark_entry__
 from shelfmark.plans import queries
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-SF = "/root/testdata/sf0.001"
-TABLES = ("part", "orders", "events", "pages")
+SIZES = ("/root/testdata/sf0.001", "/root/testdata/sf0.01")
+TABLES = ("part", "orders", "events", "pages", "nation")
 
 
-@pytest.fixture(scope="module")
-def duck():
+@pytest.fixture(scope="module", params=SIZES)
+def duck(request):
     con = duckdb.connect()
     con.sql("SET timezone = 'UTC'")
     for t in TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return con
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{request.param}/{t}.parquet'")
+    return con, request.param
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    df = queries.QUERIES[name](spark, SF)
+    duck, sf = duck
+    df = queries.QUERIES[name](spark, sf)
     cols = sorted(df.columns)
     rel = duck.sql(queries.SQL[name])
     assert sorted(rel.columns) == cols
@@ -45,3 +46,7 @@ def test_without_training_data_operators(tmp_path):
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) == len(e.oracle_sql()) > 30"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    # and so do the other tests
+    shutil.copytree(f"{ROOT}/tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    args = [sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_functions.py", "tests/test_operators.py", "tests/test_end_to_end.py"]
+    subprocess.run(args, cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})

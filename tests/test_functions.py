@@ -81,6 +81,10 @@ GLOBS = [
     ("**/*.js", "a/b/c.js", True), ("**/*.js", "c.js", True), ("**/*.js", ".a/c.js", False), ("a/**", "a/b/c", True), ("a/**", "a", False),
     ("a?c", "abc", True), ("a?c", "a/c", False), ("[ab]c", "bc", True), ("[!ab]c", "bc", False), ("*.{js,ts}", "x.ts", True), ("*.{js,ts}", "x.py", False),
     ("a.b", "axb", False), ("x*", "x", True), ("*x", "x", True), ("*x", ".x", False),
+    ("+(a|b).txt", "abba.txt", True), ("+(a|b).txt", ".txt", False), ("*(a|b)c", "c", True), ("?(a)b", "b", True), ("?(a)b", "aab", False), ("@(x|y*).js", "yes.js", True),
+    ("!(a|b).txt", "c.txt", True), ("!(a|b).txt", "a.txt", False), ("!(a|b).txt", "ab.txt", True), ("!(a|b).txt", ".txt", False), ("d/!(x)/f", "d/y/f", True), ("d/!(x)/f", "d/x/f", False),
+    ("f{1..3}.txt", "f2.txt", True), ("f{1..3}.txt", "f4.txt", False), ("f{01..10}", "f07", True), ("f{01..10}", "f7", False), ("{a..c}x", "bx", True), ("{a..e..2}x", "bx", False),
+    ("!*.js", "a.ts", True), ("!*.js", "a.js", False), ("!!*.js", "a.js", True), ("{a}", "{a}", True), ("a/**", "a/b/", True), ("a/**", "a/", False), ("x(1).txt", "x(1).txt", True),
 ]
 
 
@@ -90,8 +94,9 @@ def test_globs():
     assert re.search(glob_regex("node_modules/**", dot=True), "node_modules/.bin/x")
     assert not re.search(glob_regex("node_modules/**", dot=True), "pkg/node_modules/x")
     assert re.search(glob_regex(".DS_Store", dot=True), ".DS_Store")
+    assert re.search(glob_regex("dist/**", dot=True), "dist/en/853/") and not re.search(glob_regex("dist/**", dot=True), "dist/")
     with pytest.raises(ValueError):
-        glob_regex("+(a|b)")
+        glob_regex("{1..1000000}")
 
 
 def test_guards(spark):

@@ -10,12 +10,12 @@ from shelfmark.operators.planning import plan_operations
 from shelfmark.sinks import rows
 
 RULES = (
-    Rule("images", (".jpg", ".png"), None, "images"), Rule("documents", (".pdf", ".doc"), ("report-*",), "documents"), Rule("code", (".ts", ".js"), None, "code"),
+    Rule("images", (".jpg", ".png"), None, "images"), Rule("documents", (".pdf", ".doc"), ("plan-*",), "documents"), Rule("code", (".ts", ".js"), None, "code"),
     Rule("late", (".pdf", ".zip"), (), None), Rule("upper", (".JPG",), None, "upper"),
 )
 FILES = [
-    ("photo.jpg", ".jpg", "images"), ("image.png", ".png", "images"), ("file.ts", ".ts", "code"), ("file.xyz", ".xyz", None), ("report-2024.pdf", ".pdf", "documents"),
-    ("invoice.pdf", ".pdf", None), ("sub/report-1.pdf", ".pdf", None), ("a.zip", ".zip", None),
+    ("sunset.jpg", ".jpg", "images"), ("logo.png", ".png", "images"), ("file.ts", ".ts", "code"), ("file.xyz", ".xyz", None), ("plan-07.pdf", ".pdf", "documents"),
+    ("bill.pdf", ".pdf", None), ("sub/plan-1.pdf", ".pdf", None), ("a.zip", ".zip", None),
 ]
 
 
