@@ -96,7 +96,7 @@ def words_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(at), bool)
     new[1:] = at[1:] != at[:-1] + 1
     heads = np.flatnonzero(new)
-    return heads, np.append(heads[1:], len(at)) - 1
+    return heads, np.append(heads[1:], len(at))[: len(heads)] - 1
 
 
 def gram_keys(text: str) -> tuple[np.ndarray, np.ndarray]:
