@@ -7,9 +7,11 @@ equal payloads (length, SHA-1 and SHA-256 agree) the one with the smallest ident
 ``response``; all others are ``revisit`` records that refer to it and carry no payload.  Spark's
 text writer puts the records into ``part-*.txt.gz`` files of the folder given: every record ends
 with CRLF CRLF, which is that writer's line separator, so the files are plain WARC/1.1 and the
-commit protocol covers lost executors.
+commit protocol covers lost executors.  Files are gzipped as a whole (one member), and have no warcinfo.
 
-Reading (streaming).  Spark's text reader gives the archives in order, in pieces split at CRLF
+Reading (streaming) takes archives of other writers as well: names of fields in any case, folded
+lines, any record types, digests or lengths that are missing, gzip members of any number.
+Spark's text reader gives the archives in order, in pieces split at CRLF
 CRLF; a parser of the joined bytes emits *chunk rows*: record identifier, chunk number, bytes,
 and the digest of the payload so far.  It holds one chunk at a time, never a
 record; a record's last chunk has its length and digest.
@@ -62,14 +64,18 @@ def roles(pages: DataFrame) -> DataFrame:
     )
 
 
+def record_urn(page_id: Column, sha1: Column) -> Column:
+    """The identifier of a page's record."""
+    return F.concat(F.lit("<urn:md5:"), F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("null")), sha1, F.lit(DATE))), F.lit(">"))
+
+
 def records(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per WARC record (a chunk of a page), without the CRLF CRLF at its end."""
     body = F.when(F.col("type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
     rows = roles(pages).withColumn("body", body).drop("payload")
     rows = rows.withColumn("uri", F.regexp_replace(F.coalesce("url", F.lit("urn:none")), r"[\x00-\x20]", "%20"))
     rows = rows.withColumn("digest", base32_of_hex(F.col("sha1")))
-    uid = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "sha1", F.lit(DATE)))
-    rows = rows.withColumn("uid", F.concat(F.lit("<urn:sha1:"), uid, F.lit(">")))
+    rows = rows.withColumn("uid", record_urn(F.col("page_id"), F.col("sha1")))
     rows = rows.withColumn("last", F.greatest(F.lit(1), F.ceil(F.length("body") / F.lit(chunk_bytes))).cast("int"))
     rows = rows.withColumn("no", F.explode(F.sequence(F.lit(1), F.col("last"))))
     rows = rows.withColumn("chunk", F.expr(f"substring(body, (no - 1) * {chunk_bytes} + 1, {chunk_bytes})"))
@@ -83,12 +89,13 @@ def records(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     first, cont = F.col("no") == 1, F.col("no") > 1
     parts = [
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(cont, "continuation").otherwise(F.col("type")),
-        field("WARC-Record-ID", F.when(cont, F.concat(F.lit("<urn:segment:"), F.substring(F.col("uid"), 11, 32), F.lit(":"), F.col("no").cast("string"), F.lit(">"))).otherwise(F.col("uid"))),
+        field("WARC-Record-ID", F.when(cont, F.concat(F.lit("<urn:segment:"), F.substring(F.col("uid"), 10, 32), F.lit(":"), F.col("no").cast("string"), F.lit(">"))).otherwise(F.col("uid"))),
         field("WARC-Date", F.lit(DATE)), field("WARC-Target-URI", F.col("uri")), field("X-Page-Id", F.col("page_id")),
         field("WARC-Payload-Digest", F.when(first, F.concat(F.lit("sha1:"), F.col("digest")))),
         field("WARC-Block-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.sha1("block")))),
         field("WARC-Profile", F.when(first & (F.col("type") == "revisit"), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         field("X-Refers-To-Page-Id", F.when(first, F.col("refers_to"))),
+        field("WARC-Refers-To", F.when(first & F.col("refers_to").isNotNull(), record_urn(F.col("refers_to"), F.col("sha1")))),
         field("WARC-Segment-Number", F.when(more, F.col("no"))),
         field("WARC-Segment-Origin-ID", F.when(cont, F.col("uid"))),
         field("WARC-Segment-Total-Length", F.when(more & (F.col("no") == F.col("last")), F.col("n"))),
@@ -108,6 +115,20 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     out.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
+def header_fields(head: str) -> dict[str, str]:
+    """Fields of a header by lower-case name; its first line is none.  A line that starts with
+    white space goes on with the one before."""
+    fields, name = {}, None
+    for line in head.split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            fields[name] = value.strip()
+    return fields
+
+
 class Reader:
     """Parses the bytes of one archive, given in any pieces, into chunk rows.
 
@@ -139,7 +160,7 @@ class Reader:
                 head, found, data = self.buffer.partition(END.encode())
                 if found:
                     self.buffer = b""
-                    self.begin(head)
+                    yield from self.begin(head)
                 continue
             take = data[: self.left]
             self.left -= len(take)
@@ -148,48 +169,60 @@ class Reader:
             self.buffer += take
             if self.state == "http":
                 http, found, rest = self.buffer.partition(END.encode())
-                if not found:
-                    if not self.left:
-                        raise ValueError(f"no HTTP header in {self.head['WARC-Record-ID']}")
+                if found:
+                    fields = header_fields(http.decode("utf-8", "replace"))
+                    length = fields.get("content-length", "")
+                    self.total = int(length) if length.isdigit() and self.segmented else None
+                    self.buffer, self.state = rest, "block"
+                elif self.left:
                     continue
-                self.total = int(http.decode("ascii").split("Content-Length: ")[1].split("\r\n")[0])
-                self.buffer, self.state = rest, "block"
+                else:  # no HTTP header: all of it is payload
+                    self.state = "block"
             while len(self.buffer) >= self.chunk_bytes and (self.left or len(self.buffer) > self.chunk_bytes):
                 yield self.row(self.buffer[: self.chunk_bytes], False)
                 self.buffer = self.buffer[self.chunk_bytes :]
             if not self.left:
-                yield self.row(self.buffer, True)
-                self.buffer, self.state, self.left = b"", "tail", len(END)
-                if self.verify:
-                    self.compare(self.block, self.head["WARC-Block-Digest"])
-
-    def begin(self, head: bytes) -> None:
-        lines = head.decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("not at the start of a record")
-        self.head = dict(line.split(": ", 1) for line in lines[1:])
-        self.left, self.block, self.state = int(self.head["Content-Length"]), hashlib.sha1(), "block"
-        if self.head["WARC-Type"] != "continuation":
-            self.origin, self.sha1, self.size, self.no, self.state = self.head, hashlib.sha1(), 0, 0, "http"
+                yield from self.end_block()
+
+    def end_block(self) -> Iterator[dict]:
+        yield self.row(self.buffer, True)
+        self.buffer, self.state, self.left = b"", "tail", len(END)
+        self.compare(self.block, self.head.get("warc-block-digest"))
 
-    def compare(self, digest, said: str) -> None:
-        if base64.b32encode(digest.digest()).decode() != said.removeprefix("sha1:"):
-            raise ValueError(f"digest differs in {self.head['WARC-Record-ID']}")
+    def begin(self, head: bytes) -> Iterator[dict]:
+        version, _, rest = head.decode("utf-8", "replace").partition("\r\n")
+        if not version.startswith("WARC/"):
+            raise ValueError("not at the start of a record")
+        self.head = header_fields(f"{version}\r\n{rest}")
+        self.left, self.block, self.state = int(self.head["content-length"]), hashlib.sha1(), "block"
+        if self.head["warc-type"] != "continuation":
+            self.origin, self.sha1, self.size, self.no, self.total = self.head, hashlib.sha1(), 0, 0, None
+            self.segmented = "warc-segment-number" in self.head or self.head["warc-type"] == "revisit"
+            if "application/http" in self.head.get("content-type", "").lower():
+                self.state = "http"
+        if not self.left:
+            yield from self.end_block()
+
+    def compare(self, digest, said: str | None) -> None:
+        """Digests by SHA-1 are verified; others and missing ones are not."""
+        if self.verify and said and said.lower().startswith("sha1:"):
+            if base64.b32encode(digest.digest()).decode() != said[5:].upper() and digest.hexdigest() != said[5:].lower():
+                raise ValueError(f"digest differs in {self.head.get('warc-record-id')}")
 
     def row(self, data: bytes, ends_block: bool) -> dict:
-        head, revisit = self.origin, self.origin["WARC-Type"] == "revisit"
+        head, revisit = self.origin, self.origin["warc-type"] == "revisit"
         self.sha1.update(data)
         self.size += len(data)
         self.no += 1
-        last = ends_block and (revisit or self.size == self.total)
-        said = head["WARC-Payload-Digest"].removeprefix("sha1:")
-        if self.verify and last and not revisit:
+        last = ends_block and (revisit or self.total is None or self.size == self.total)
+        said = head.get("warc-payload-digest")
+        if last and not revisit:
             self.compare(self.sha1, said)
         return {
-            "record_id": head["WARC-Record-ID"], "page_id": head.get("X-Page-Id"), "record_type": head["WARC-Type"],
-            "refers_to": head.get("X-Refers-To-Page-Id"), "chunk_no": self.no - 1, "data": data,
-            "bytes_so_far": self.total if revisit else self.size,
-            "digest_so_far": said if revisit else base64.b32encode(self.sha1.digest()).decode(), "is_last": last,
+            "record_id": head.get("warc-record-id"), "page_id": head.get("x-page-id"), "record_type": head["warc-type"],
+            "refers_to": head.get("x-refers-to-page-id"), "chunk_no": self.no - 1, "data": data,
+            "bytes_so_far": self.total if revisit and self.total is not None else self.size,
+            "digest_so_far": said.partition(":")[2] if revisit and said else base64.b32encode(self.sha1.digest()).decode(), "is_last": last,
         }
 
 
@@ -254,4 +287,14 @@ def op4_warc(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_warc": op4_warc}
-ORACLES: dict[str, str] = {}
+# base32: a letter's five bits lie in two hex digits, from the first or one of the next three bits on
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT *, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, strlen(t) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('{BASE32}', 1 + CAST((('0x' || substr(h || '0', 1 + (5 * i) // 4, 2))::INT >> (3 - (5 * i) % 4)) & 31 AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+ORACLES = {"op4_warc": ORACLE}
