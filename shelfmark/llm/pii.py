@@ -40,15 +40,23 @@ KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = ("email", "ip", "card", "phone")
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.6, "phone": 0.5, "iban": 0.6, "ssn": 0.3}
 CHECKED = {"card", "iban"}
-CONTEXT = {
-    "email": {"email", "mail", "contact", "write"},
-    "ip": {"ip", "address", "host", "server", "login"},
-    "card": {"card", "visa", "mastercard", "amex", "credit", "debit", "payment"},
-    "phone": {"phone", "tel", "call", "mobile", "fax", "telephone"},
-    "iban": {"iban", "bank", "account", "transfer", "konto"},
-    "ssn": {"ssn", "social", "security", "taxpayer"},
+CONTEXT = {  # English, German, French, Spanish
+    "email": {"email", "mail", "contact", "write", "kontakt", "schreiben", "courriel", "écrire", "correo", "contacto", "escribir"},
+    "ip": {"ip", "address", "host", "server", "login", "adresse", "serveur", "hôte", "dirección", "servidor"},
+    "card": {
+        "card", "visa", "mastercard", "amex", "credit", "debit", "payment", "karte", "kreditkarte", "zahlung", "carte", "crédit", "paiement",
+        "tarjeta", "crédito", "pago",
+    },
+    "phone": {
+        "phone", "tel", "call", "mobile", "fax", "telephone", "telefon", "handy", "anrufen", "téléphone", "appeler", "teléfono", "móvil", "llamar",
+    },
+    "iban": {"iban", "bank", "account", "transfer", "konto", "überweisung", "banque", "compte", "virement", "banco", "cuenta", "transferencia"},
+    "ssn": {"ssn", "social", "security", "taxpayer", "sozialversicherung", "sécurité", "sociale", "seguridad"},
+}
+AGAINST = {
+    "example", "version", "sample", "order", "invoice", "isbn", "build", "beispiel", "bestellung", "rechnung", "exemple", "commande", "facture",
+    "ejemplo", "pedido", "factura",
 }
-AGAINST = {"example", "version", "sample", "order", "invoice", "isbn", "build"}
 IBAN_LENGTH = {
     "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29,
     "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
@@ -67,10 +75,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}(?=[0-9]{2})")
-IBAN_REST = {c: re.compile(r"[0-9]{2}(?: ?[A-Z0-9]){%d}(?![A-Za-z0-9])" % (n - 4)) for c, n in IBAN_LENGTH.items()}
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}(?=[0-9]{2})")
+IBAN_REST = {c: re.compile(r"[0-9]{2}(?: ?[A-Za-z0-9]){%d}(?![A-Za-z0-9])" % (n - 4)) for c, n in IBAN_LENGTH.items()}
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
-WORDS = re.compile(r"[A-Za-z]+")
+WORDS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"[0-9]")
 WINDOW = 40
 
@@ -125,7 +133,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
             if 10 <= len(DIGITS.findall(m[0])) <= 15:
                 yield "phone", *m.span()
     for m in IBAN.finditer(text):
-        rest = m[0] in IBAN_REST and IBAN_REST[m[0]].match(text, m.end())
+        country = m[0].upper()
+        rest = country in IBAN_REST and IBAN_REST[country].match(text, m.end())
         if rest and mod97(text[m.start() : rest.end()].replace(" ", "")):
             yield "iban", m.start(), rest.end()
     for m in SSN.finditer(text):
