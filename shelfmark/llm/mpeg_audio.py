@@ -6,10 +6,13 @@ frame count, byte count, seek table), then silent frames of 48 kHz stereo whose
 what a frame holds beyond its (empty) main data - carry the payload, and an ID3v1 tag.  Frames
 have 320 kbit/s, the last one the least rate that holds the rest.  Every frame has its CRC-16.
 
-Probing reads any such stream: tags are parsed, frame headers of all versions and layers are
-followed from one to the next, and where one is missing or the next does not agree, the stream
-is searched for the next pair that does (a resync).  CRCs are verified, and the exact duration
-(samples over sample rate) and each frame's offset are stored.
+Probing reads any stream with a bitrate: ID3v1, ID3v2.2 to 2.4 (unsynchronised ones too), Xing,
+Info and VBRI tables are parsed; frame headers of all versions and layers are followed from one
+to the next, and where one is missing or the next does not agree, the stream is searched for the
+next pair that does (a resync).  CRCs of layer III frames and of tags are verified (those of
+layers I and II cover decoded bit allocations and are not).  Stored are the duration of all
+frames (samples over sample rate, exact; an encoder's delay is not taken off) and each frame's
+offset.
 
 Defined cases: a null text is empty; the payload is the text's UTF-8 filled with zeros to a
 positive multiple of 64 bytes; equal texts give equal streams; every row gives one row; a
@@ -141,6 +144,7 @@ def store(payload: bytes) -> bytes:
 @dataclass
 class Probe:
     tags: list[str] = field(default_factory=list)
+    frames: list[str] = field(default_factory=list)  # names of tag frames
     tag_crc_ok: bool | None = None
     payload_bytes: int | None = None
     vbr: tuple[int, int] | None = None  # frames and bytes that the table announces
@@ -176,26 +180,62 @@ def crc_of(data: bytes) -> int:
     return _crcs[data]
 
 
+def synchsafe(raw: bytes) -> int:
+    return raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3]
+
+
 def read_id3v2(data: bytes, out: Probe) -> int:
     """Parse a tag at the start; return where it ends."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
-    out.tags.append(f"ID3v2.{data[3]}")
-    size = data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]
+    version, flags, size = data[3], data[5], synchsafe(data[6:10])
+    out.tags.append(f"ID3v2.{version}")
     body = data[10 : 10 + size]
-    if data[3] == 3 and data[5] & 0x40 and len(body) >= 14:
-        ext, flags = struct.unpack(">IH", body[:6])
-        said = struct.unpack(">I", body[10:14])[0] if flags & 0x8000 and ext >= 10 else None
+    end = 10 + size + 10 * bool(version == 4 and flags & 0x10)  # a footer
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    if version == 3 and flags & 0x40 and len(body) >= 14:
+        ext, ext_flags = struct.unpack(">IH", body[:6])
+        said = struct.unpack(">I", body[10:14])[0] if ext_flags & 0x8000 and ext >= 10 else None
         body = body[4 + ext :]
         if said is not None:
             out.tag_crc_ok = zlib.crc32(body) == said
+    elif version == 4 and flags & 0x40 and len(body) >= 6:
+        body = body[synchsafe(body[:4]) :]
+    if version not in (2, 3, 4):
+        return end
+    name, head = (3, 6) if version == 2 else (4, 10)
     at = 0
-    while data[3] == 3 and at + 10 <= len(body) and body[at] and 0 < (n := struct.unpack(">I", body[at + 4 : at + 8])[0]):
-        value = body[at + 10 : at + 10 + n]
-        if body[at : at + 4] == b"TXXX" and value.startswith(b"\0payload-bytes\0") and value[15:].isdigit():
+    while at + head <= len(body) and body[at]:
+        raw = body[at + name : at + 2 * name]
+        n = synchsafe(raw) if version == 4 else int.from_bytes(raw, "big")
+        value = body[at + head : at + head + n]
+        if version == 4 and body[at + 9] & 2:  # this frame is unsynchronised
+            value = value.replace(b"\xff\x00", b"\xff")
+        if not n:
+            break
+        out.frames.append(body[at : at + name].decode("latin-1"))
+        if value.startswith(b"\0payload-bytes\0") and value[15:].isdigit():
             out.payload_bytes = int(value[15:])
-        at += 10 + n
-    return 10 + size
+        at += head + n
+    return end
+
+
+def vbr_table(data: bytes, side: int, body: int) -> tuple[tuple[int, int], bytes] | None:
+    """((frames, bytes), seek table) that a frame announces; side, body: where its side information
+    begins and ends."""
+    if data[body : body + 4] in (b"Xing", b"Info"):
+        flags = int.from_bytes(data[body + 4 : body + 8], "big")
+        where, said = body + 8, []
+        for bit in (1, 2):
+            said.append(int.from_bytes(data[where : where + 4], "big") if flags & bit else 0)
+            where += 4 if flags & bit else 0
+        return tuple(said), data[where : where + 100] if flags & 4 else b""
+    where = side + 32  # whatever the frame's own side information
+    if data[where : where + 4] == b"VBRI" and len(data) >= where + 26:
+        size, frames, entries, _, width = struct.unpack(">IIHHH", data[where + 10 : where + 24])
+        return (frames, size), data[where + 26 : where + 26 + entries * width]
+    return None
 
 
 def probe(data: bytes) -> Probe:
@@ -228,13 +268,9 @@ def probe(data: bytes) -> Probe:
         if h.protected and h.layer == 3:
             out.crc_checked += 1
             out.crc_bad += crc_of(data[at + 2 : at + 4] + data[head:body]) != data[at + 4] << 8 | data[at + 5]
-        if not out.offsets and out.vbr is None and data[body : body + 4] in (b"Xing", b"Info"):
-            flags = struct.unpack(">I", data[body + 4 : body + 8])[0]
-            where, said = body + 8, []
-            for bit in (1, 2):
-                said.append(struct.unpack(">I", data[where : where + 4])[0] if flags & bit else 0)
-                where += 4 if flags & bit else 0
-            out.vbr, out.toc = tuple(said), data[where : where + 100] if flags & 4 else b""
+        found = vbr_table(data[at:following], head - at, body - at) if not out.offsets and out.vbr is None else None
+        if found:
+            out.vbr, out.toc = found
         else:
             out.offsets.append(at)
             out.samples += h.samples
