@@ -457,3 +457,58 @@ def test_repeats_tells_contexts_apart(spark):
     assert repeats.smallest_of_windows(repeats.staged(kinds, "kinds"), 50, 1).count() == 2  # the first one loses nothing
     kinds = repeats.distinct_contexts(frame, 1).withColumn("name", F.lit(0).cast("long"))
     assert repeats.smallest_of_windows(repeats.staged(kinds, "kinds"), 50, 1) is None
+
+
+# --- streams and archives of other writers ----------------------------------------------------
+
+
+def test_foreign_warc(spark, tmp_path):
+    import gzip
+
+    def record(kind, block, *fields):
+        head = "\r\n".join(["WARC/1.0", f"warc-type: {kind}", f"Warc-Record-Id: <urn:{kind}>", *fields, f"CONTENT-LENGTH:{len(block)}"])
+        return gzip.compress(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\ncontent-length:5\r\nX: \xff\r\n\r\nh\x00\xfelo"
+    said = base64.b32encode(hashlib.sha1(http).digest()).decode()
+    parts = [
+        record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        record("response", http, "Content-Type: application/http;", "  msgtype=response", f"WARC-Block-Digest: SHA1:{said}"),
+        record("resource", b"", "Content-Type: text/plain"), record("metadata", b"a: b\r\n\r\nc: d", "WARC-Payload-Digest: md5:x"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts))
+    rows = {r.record_type: r for r in warc.read_archives(spark, str(tmp_path / "a.warc.gz")).collect()}
+    assert {k: (r.bytes_so_far, bytes(r.data), r.is_last) for k, r in rows.items()} == {
+        "warcinfo": (13, b"software: x\r\n", True), "request": (0, b"", True), "response": (5, b"h\x00\xfelo", True), "resource": (0, b"", True),
+        "metadata": (12, b"a: b\r\n\r\nc: d", True),
+    }
+    (tmp_path / "bad.warc.gz").write_bytes(record("response", b"x", f"WARC-Block-Digest: sha1:{said}"))
+    with pytest.raises(Exception, match="digest differs"):
+        warc.read_archives(spark, str(tmp_path / "bad.warc.gz")).collect()
+
+
+def test_foreign_mpeg():
+    def size(n):
+        return bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
+
+    frame = mpeg_audio.frame_head(5, False)
+    length = mpeg_audio.header(frame[:4]).length
+    vbri = (frame + b"VBRI" + bytes(6) + (9000).to_bytes(4, "big") + (7).to_bytes(4, "big") + b"\0\2\0\1\0\2\0\1abcd").ljust(length, b"\0")
+    audio = vbri + frame.ljust(length, b"\0") * 3
+    text = b"TT2" + (6).to_bytes(3, "big") + b"\0title"
+    v22 = b"ID3\2\0\0" + size(len(text)) + text
+    frames24 = b"TIT2" + size(200) + b"\0\0" + b"\0" + b"t" * 199 + b"TPE1" + size(4) + b"\0\2" + b"\xff\0\xfbx"
+    v24 = b"ID3\4\0\x10" + size(len(frames24)) + frames24 + b"3DI\4\0\x10" + size(len(frames24))
+    raw = b"TIT2" + (3).to_bytes(4, "big") + b"\0\0" + b"\xff\xfaq"
+    unsynchronised = raw.replace(b"\xff", b"\xff\0")
+    v23 = b"ID3\3\0\x80" + size(len(unsynchronised)) + unsynchronised
+    for tag, kind, names in ((v22, "ID3v2.2", ["TT2"]), (v24, "ID3v2.4", ["TIT2", "TPE1"]), (v23, "ID3v2.3", ["TIT2"])):
+        p = mpeg_audio.probe(tag + audio)
+        assert (p.tags, p.frames, p.vbr, p.toc, len(p.offsets), p.resyncs) == ([kind], names, (7, 9000), b"abcd", 3, 0)
+
+
+def test_pii_languages():
+    found = {s[0]: s[3] for s in pii.find("Überweisung auf de89 3704 0044 0532 0130 00 bitte; tarjeta 4111111111111111")}
+    assert found["iban"] == 1.0 and found["card"] == 1.0
+    assert pii.find("facture 4111111111111111")[0][3] < 0.9
