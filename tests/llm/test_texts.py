@@ -436,10 +436,11 @@ def repeat_rows():
     return rows + [(300, "z" * 5000), (301, "z" * 1234 + "ab" * 700), (302, "ba" * 900 + "z" * 77)]
 
 
-@pytest.mark.parametrize("lane", [4096, 400])
+@pytest.mark.parametrize("lane", [4096, 400, 401])
 def test_repeats(spark, lane, monkeypatch):
     rows = repeat_rows()
     monkeypatch.setattr(repeats, "LANE", lane)
+    monkeypatch.setattr(repeats, "FEW_LONG", 0 if lane == 400 else 100_000)
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, id string, key int").repartition(3)
     got = repeats.repeated(frame, with_text=True).collect()
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got) == brute_repeats(rows)
