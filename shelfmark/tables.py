@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new, empty path in the folder of ``spark.checkpoint.dir``.
+    """A new, empty path in the folder of ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only where a session on one machine has none (tests), a temporary folder becomes its value;
+    Only where a session on one machine has neither (tests), a temporary folder becomes the latter;
     on a cluster, whose executors would not see such a folder, that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if context.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shelfmark-"))
+        root = context.getCheckpointDir()
+    if root.startswith("file:/") and not root.startswith("file://"):
+        root = "file://" + root.removeprefix("file:")
     return f"{root.rstrip('/')}/shelfmark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 

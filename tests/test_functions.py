@@ -2,10 +2,12 @@
 
 import posixpath
 import re
+import types
 
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark import tables
 from shelfmark.config import CAMEL, KEBAB, PASCAL, SNAKE, NamingConvention
 from shelfmark.functions import guards, naming, paths
 from shelfmark.functions.globs import glob_regex
@@ -109,3 +111,28 @@ def test_guards(spark):
         "is_object": [0], "is_string": [1], "is_number": [2, 3, 4], "is_boolean": [5], "is_array": [6], "is_null_or_undefined": [7, 8],
         "is_primitive": [1, 2, 3, 4, 5, 7, 8],
     }
+
+
+class Context:
+    def __init__(self, master, folder=None):
+        self.master, self.folder, self.applicationId = master, folder, "app"
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = "file:" + folder.removeprefix("file://") + "/own"
+
+
+def session(master, folder=None, setting=None):
+    return types.SimpleNamespace(sparkContext=Context(master, folder), conf=types.SimpleNamespace(get=lambda key, default: setting))
+
+
+def test_shared_folder():
+    assert tables.scratch(session("spark://a", "file:/b/c", "hdfs://d/e/"), "t").startswith("hdfs://d/e/shelfmark/app/t-")
+    assert tables.scratch(session("spark://a", "file:/b/c"), "t").startswith("file:///b/c/shelfmark/app/t-")
+    alone = session("local[2]")
+    first, second = tables.scratch(alone, "t"), tables.scratch(alone, "t")
+    assert first != second and first.rpartition("/")[0] == second.rpartition("/")[0] and first.startswith("file:///")
+    with pytest.raises(ValueError):
+        tables.scratch(session("spark://a"), "t")
