@@ -43,14 +43,14 @@ def n_words(text: Column) -> Column:
 
 def quality(text: Column) -> Column:
     """Share of letters, digits and plain white space in a text, within [0.05, 1]."""
-    plain = F.length(F.regexp_replace(text, r"[^\p{L}\p{Nd}\s]+", ""))
+    plain = F.length(F.regexp_replace(text, r"[^\p{L}\p{Nd}\x20\x09-\x0D]+", ""))
     return F.greatest(F.lit(0.05), plain / F.greatest(F.length(text), F.lit(1)))
 
 
-def uniform(seed: str, *cols: str) -> Column:
-    """A reproducible number in (0, 1) for a row."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11)
-    return (bits.cast("double") + 0.5) / float(1 << 53)
+def draw(seed: str, id_: Column, text: Column) -> Column:
+    """52 reproducible bits of a row (MD5, which SQL has too)."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), id_.cast("string"), F.md5(text)))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, share: float, max_epochs: float, weights: tuple = WEIGHTS) -> DataFrame:
@@ -84,18 +84,19 @@ def source_targets(sizes: DataFrame, share: float, max_epochs: float, weights: t
     return known.withColumn("target", F.least(F.col("__cap"), F.col("__w") * F.lit(rate))).drop("__w", "__cap")
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, *carry: Column) -> DataFrame:
-    """Rows with what the plan needs: doc_id, source, size, weight, a hash of the text."""
+def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *carry: Column) -> DataFrame:
+    """Rows with what the plan needs: doc_id, source, size, weight, the bits drawn."""
     text = text_or_empty(text_col)
     return docs.select(
         col(id_col).alias("doc_id"), col(source_col).cast("string").alias("source"), n_words(text).alias("size"),
-        quality(text).alias("weight"), F.xxhash64(text).alias("__text"), *carry,
+        quality(text).alias("weight"), draw(seed, col(id_col), text).alias("__draw"), *carry,
     )
 
 
-def keyed(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+def keyed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows joined with their source's plan, with their exponential key."""
-    return join_sources(rows, plan).withColumn("es_key", -F.log(uniform(seed, "doc_id", "__text")) / F.col("weight"))
+    uniform = (F.col("__draw").cast("double") + 0.5) / float(1 << 52)
+    return join_sources(rows, plan).withColumn("es_key", -F.log(uniform) / F.col("weight"))
 
 
 def edge_of(cells: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def summed(rows: DataFrame, before: Column) -> DataFrame:
     )
 
 
-def mix_plan(rows: DataFrame, share: float, max_epochs: float, seed: str, weights: tuple) -> DataFrame:
+def mix_plan(rows: DataFrame, share: float, max_epochs: float, weights: tuple) -> DataFrame:
     """One row per source: target, complete epochs, and the keys between which the budget ends."""
     by_source = rows.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"), F.avg("weight").alias("__mean")
@@ -130,24 +131,24 @@ def mix_plan(rows: DataFrame, share: float, max_epochs: float, seed: str, weight
     )
     # exp(-key * weight) is uniform and falls with the key: cells in order of key
     first = F.floor((1 - F.exp(-F.col("es_key") * F.col("__mean"))) * F.col("__cells")).cast("int")
-    edges = staged(edge_of(summed(keyed(rows, plan, seed).withColumn("__cell", first), F.lit(0).cast("long"))), "edges")
+    edges = staged(edge_of(summed(keyed(rows, plan).withColumn("__cell", first), F.lit(0).cast("long"))), "edges")
     wide = (F.col("rows") > EDGE_ROWS) & (F.col("__lo") < F.col("__hi"))
     while not edges.where(wide).isEmpty():
         open_edges = edges.where(wide).select(F.col("__of").alias("__in"), "__before", "__lo", "__hi")
-        inside = join_sources(keyed(rows, plan, seed), open_edges, "__in").where("es_key BETWEEN __lo AND __hi")
+        inside = join_sources(keyed(rows, plan), open_edges, "__in").where("es_key BETWEEN __lo AND __hi")
         finer = F.floor((F.col("es_key") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * FINER_CELLS).cast("int")
         closer = edge_of(summed(inside.withColumn("__cell", finer), F.col("__before")))
         edges = staged(edges.where(~wide).unionByName(closer), "edges")
     return staged(plan.join(edges.drop("rows"), F.col("__source").eqNullSafe(F.col("__of")), "left").drop("__of", "__mean", "__cells"), "plan")
 
 
-def taken(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with ``taken``; only those of the cells in which a budget ends are moved and ordered."""
-    placed = keyed(rows, plan, seed)
+    placed = keyed(rows, plan)
     at = F.coalesce(F.col("es_key").between(F.col("__lo"), F.col("__hi")), F.lit(False))
     inside = F.coalesce(F.col("es_key") < F.col("__lo"), F.lit(False))
     plain = placed.where(~at).withColumn("__part", F.when(inside, F.col("size")).otherwise(F.lit(0)).cast("long"))
-    order = W.partitionBy("source").orderBy("es_key", "doc_id", "__text").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("source").orderBy("es_key", "doc_id", "__draw").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("__before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - before)).cast("long")
     out = plain.unionByName(placed.where(at).withColumn("__part", part))
@@ -165,8 +166,8 @@ def mix(
     weights: tuple = WEIGHTS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, epochs, es_key."""
-    rows = staged(measured(docs, id_col, text_col, source_col), "sized")
-    out = taken(rows, mix_plan(rows, share, max_epochs, seed, weights), seed)
+    rows = staged(measured(docs, id_col, text_col, source_col, seed), "sized")
+    out = taken(rows, mix_plan(rows, share, max_epochs, weights))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken", "epochs", "es_key")
 
 
@@ -198,10 +199,10 @@ def mixed_rows(
     ``whole``, it is there whole or not at all, whichever is nearer the target (there, if equal).
     Rows stay where they are, except for those of the cells in which a budget ends.
     """
-    rows = staged(measured(docs, id_col, text_col, source_col), "sized")
-    plan = mix_plan(rows, share, max_epochs, seed, weights)
-    carried = measured(docs, id_col, text_col, source_col, F.struct(*[col(c) for c in docs.columns]).alias("__all"))
-    met = taken(carried, plan, seed)
+    rows = staged(measured(docs, id_col, text_col, source_col, seed), "sized")
+    plan = mix_plan(rows, share, max_epochs, weights)
+    carried = measured(docs, id_col, text_col, source_col, seed, F.struct(*[col(c) for c in docs.columns]).alias("__all"))
+    met = taken(carried, plan)
     if whole:
         more = F.when(F.col("__part") * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0))
         met = met.withColumn("taken", F.col("epochs") * F.col("size") + more)
@@ -225,4 +226,24 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mixing": op1_mixing}
-ORACLES: dict[str, str] = {}
+
+#: The same draws and keys, with one prefix sum over each whole source.
+ORACLE = rf"""WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    greatest(CAST(0.05 AS DOUBLE), CAST(length(regexp_replace(t, '[^\p{{L}}\p{{Nd}}\x20\x09-\x0D]+', '', 'g')) AS DOUBLE) / greatest(length(t), 1)) AS weight,
+    CAST('0x' || left(md5(concat_ws('|', 'mix', doc_id, md5(t))), 13) AS BIGINT) AS draw
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+k AS (SELECT *, CAST({list(WEIGHTS)}[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS INT)] AS DOUBLE) AS w,
+  CAST(2 * source_size AS DOUBLE) AS cap, CAST(1.5 AS DOUBLE) * sum(source_size) OVER () AS budget FROM s),
+rates AS (SELECT CAST(0 AS DOUBLE) AS rate UNION ALL SELECT following FROM (
+  SELECT rate, (any_value(budget) - sum(CASE WHEN cap <= w * rate THEN cap ELSE 0 END)) / nullif(sum(CASE WHEN cap <= w * rate THEN 0 ELSE w END), 0) AS following
+  FROM rates, k GROUP BY rate) WHERE following > rate),
+p AS (SELECT *, floor(target / nullif(source_size, 0)) AS epochs FROM (SELECT *, least(cap, w * (SELECT max(rate) FROM rates)) AS target FROM k)),
+o AS (SELECT d.*, source_size, target, coalesce(epochs, 0) AS epochs, sum(size) OVER (
+    PARTITION BY d.source ORDER BY -ln((draw + CAST(0.5 AS DOUBLE)) / CAST({1 << 52} AS DOUBLE)) / weight, doc_id, draw ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target,
+  CAST(epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - before)) AS BIGINT) AS taken FROM o"""
+
+ORACLES = {"op1_mixing": ORACLE}
