@@ -7,7 +7,7 @@ shard needs); all prefixes of all cells are summed at once, and the shortest pre
 limit is the shard.  Cells that are still too large are split again on their next bits, row by
 row, until none is.
 
-The hash has 128 bits: 64 of the key columns, then 64 of the row's own address, so that rows
+The hash has 128 bits: 64 of the key columns (MD5 of their JSON), then 64 of the row's own address, so that rows
 with one key (a hot source, say) split as well.  One row above the limit is a shard of its own,
 flagged ``over_limit``.
 
@@ -28,9 +28,9 @@ FINER = 5
 BITS = 128
 
 
-def bits_of(*cols: Column) -> Column:
-    """128 characters of 0 and 1."""
-    key = F.lpad(F.bin(F.xxhash64(*cols)), 64, "0")
+def bits_of(key: Column) -> Column:
+    """128 characters of 0 and 1: 64 for the key (a string), 64 for the row's address."""
+    key = F.lpad(F.conv(F.substring(F.md5(key), 1, 16), 16, 2), 64, "0")
     row = F.lpad(F.bin(F.xxhash64(F.lit("row"), F.col("file"), F.col("row"))), 64, "0")
     return F.concat(key, row)
 
@@ -62,7 +62,7 @@ def shard(docs: DataFrame, limit: int, keys: tuple = ("doc_id",), text_col: str
     shard_rows, over_limit."""
     rows = staged(
         located(docs, doc_id=col(id_col), n_bytes=F.octet_length(text_or_empty(text_col)).cast("long"), key=F.struct(*[col(k) for k in keys])).select(
-            "doc_id", "n_bytes", bits_of(F.col("key.*")).alias("bits")
+            "doc_id", "n_bytes", bits_of(F.to_json("key")).alias("bits")
         ),
         "hashed",
     )
@@ -104,4 +104,17 @@ def op7_sharding(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_sharding": op7_sharding}
-ORACLES: dict[str, str] = {}
+
+#: The same hash, split bit by bit.
+ORACLE = f"""WITH RECURSIVE d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+    lpad(bin(CAST('0x' || left(md5('{{' || coalesce('"doc_id":' || doc_id, '') || '}}'), 16) AS UBIGINT)), 64, '0') AS bits FROM documents),
+buckets AS (
+  SELECT '' AS shard, CAST(0 AS INT) AS depth, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_rows FROM d
+  UNION ALL
+  SELECT left(bits, depth + 1), depth + 1, CAST(sum(n_bytes) AS BIGINT), count(*)
+  FROM buckets JOIN d ON left(bits, depth) = shard WHERE shard_bytes > {SHARD_BYTES} AND shard_rows > 1 AND depth < 64 GROUP BY ALL)
+SELECT doc_id, n_bytes, shard, depth, shard_bytes, shard_rows, shard_bytes > {SHARD_BYTES} AS over_limit
+FROM buckets JOIN d ON left(bits, depth) = shard WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1"""
+
+ORACLES = {"op7_sharding": ORACLE}
