@@ -11,12 +11,12 @@ Everything here is DataFrame-native.  Three rules recur:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.tables import scratch, staged
 
-__all__ = ["col", "discard", "global_rank", "located", "members_bitmap", "scratch", "spread_join", "staged", "text_or_empty", "with_maybe", "without"]
+__all__ = ["col", "discard", "free_shuffles", "global_rank", "located", "members_bitmap", "scratch", "spread_join", "staged", "text_or_empty", "with_maybe", "without"]
 
 #: A group is hot when it holds more than one row in this many, so at most this many are hot.
 HOT_KEYS = 1000
@@ -65,6 +65,16 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that have ended.
+
+    Its cleaner deletes them once the driver's garbage collector has found their plans, which on a
+    driver with memory to spare may be long after; operators that shuffle several times their input
+    call this between their staged tables.  Shuffles that a plan still refers to stay.
+    """
+    spark._jvm.System.gc()
+
+
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(col(text_col).cast("string"), F.lit(""))
 
