@@ -11,6 +11,7 @@ Everything here is DataFrame-native.  Three rules recur:
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +36,18 @@ def col(name: str) -> Column:
 
 
 def is_plain_scan(docs: DataFrame) -> bool:
-    """Whether ``docs`` is a scan of files with filters and projections at most."""
+    """Whether ``docs`` is a scan of files with filters and projections at most, in a format whose
+    rows have an index (of Spark's own formats only Parquet)."""
     plan = docs._jdf.queryExecution().analyzed()
     while plan.nodeName() in PLAIN:
         plan = plan.child()
-    return plan.nodeName() == "LogicalRelation"
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    try:
+        metadata = docs.select(docs.metadataColumn("_metadata")).schema[0].dataType
+    except AnalysisException:  # no files behind the relation (JDBC)
+        return False
+    return "row_index" in metadata.names
 
 
 def located(docs: DataFrame, **cols: Column) -> DataFrame:

@@ -16,7 +16,8 @@ CRLF; a parser of the joined bytes emits *chunk rows*: record identifier, chunk
 and the digest of the payload so far.  It holds one chunk at a time, never a
 record; a record's last chunk has its length and digest.
 
-Defined cases: a null html is an empty payload; pages that tie in the smallest identifier are
+Defined cases: a null html is an empty payload; identifiers of any characters come back as they were
+(percent-encoded in the archive); pages that tie in the smallest identifier are
 all responses; a null identifier is larger than any other, and revisits of a group that has
 only nulls don't exist (all tie); every page has one record, repeated ones too; an empty table
 gives an empty archive.  A header that announces more bytes than there are raises an error.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import urllib.parse
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -69,6 +71,15 @@ def record_urn(page_id: Column, sha1: Column) -> Column:
     return F.concat(F.lit("<urn:md5:"), F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("null")), sha1, F.lit(DATE))), F.lit(">"))
 
 
+def encoded(page_id: Column) -> Column:
+    """An identifier as a header's value: whatever could end or trim a line is percent-encoded."""
+    return F.replace(F.url_encode(page_id.cast("string")), F.lit("+"), F.lit("%20"))
+
+
+def decoded(value: str | None) -> str | None:
+    return None if value is None else urllib.parse.unquote(value)
+
+
 def records(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per WARC record (a chunk of a page), without the CRLF CRLF at its end."""
     body = F.when(F.col("type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
@@ -90,11 +101,11 @@ def records(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     parts = [
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(cont, "continuation").otherwise(F.col("type")),
         field("WARC-Record-ID", F.when(cont, F.concat(F.lit("<urn:segment:"), F.substring(F.col("uid"), 10, 32), F.lit(":"), F.col("no").cast("string"), F.lit(">"))).otherwise(F.col("uid"))),
-        field("WARC-Date", F.lit(DATE)), field("WARC-Target-URI", F.col("uri")), field("X-Page-Id", F.col("page_id")),
+        field("WARC-Date", F.lit(DATE)), field("WARC-Target-URI", F.col("uri")), field("X-Page-Id", encoded(F.col("page_id"))),
         field("WARC-Payload-Digest", F.when(first, F.concat(F.lit("sha1:"), F.col("digest")))),
         field("WARC-Block-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.sha1("block")))),
         field("WARC-Profile", F.when(first & (F.col("type") == "revisit"), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        field("X-Refers-To-Page-Id", F.when(first, F.col("refers_to"))),
+        field("X-Refers-To-Page-Id", F.when(first, encoded(F.col("refers_to")))),
         field("WARC-Refers-To", F.when(first & F.col("refers_to").isNotNull(), record_urn(F.col("refers_to"), F.col("sha1")))),
         field("WARC-Segment-Number", F.when(more, F.col("no"))),
         field("WARC-Segment-Origin-ID", F.when(cont, F.col("uid"))),
@@ -219,8 +230,8 @@ class Reader:
         if last and not revisit:
             self.compare(self.sha1, said)
         return {
-            "record_id": head.get("warc-record-id"), "page_id": head.get("x-page-id"), "record_type": head["warc-type"],
-            "refers_to": head.get("x-refers-to-page-id"), "chunk_no": self.no - 1, "data": data,
+            "record_id": head.get("warc-record-id"), "page_id": decoded(head.get("x-page-id")), "record_type": head["warc-type"],
+            "refers_to": decoded(head.get("x-refers-to-page-id")), "chunk_no": self.no - 1, "data": data,
             "bytes_so_far": self.total if revisit and self.total is not None else self.size,
             "digest_so_far": said.partition(":")[2] if revisit and said else base64.b32encode(self.sha1.digest()).decode(), "is_last": last,
         }

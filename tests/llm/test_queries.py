@@ -254,6 +254,48 @@ def test_columns_of_any_name(spark, tmp_path):
             assert stage(spark, docs, "").columns == docs.columns, name
 
 
+@pytest.mark.parametrize("form", ["json", "orc", "csv"])
+def test_tables_of_any_form(spark, tmp_path, form):
+    """Only Parquet rows have an index; other tables are staged first."""
+    rows = [(i, t, "en" if i % 2 else "fr", "s", len(t)) for i, t in enumerate(["the dog and the cat", "le chien et le chat", "the dog and the cat", "the only one " * 30, "le seul " * 30])]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(rows, schema).write.format(form).save(str(tmp_path / "docs"))
+    docs = spark.read.format(form).schema(schema).load(str(tmp_path / "docs"))
+    for made in (sharding.shard(docs, 100), repeats.repeated(docs), mpeg_audio.store_texts(docs)):
+        assert made.count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "").count() >= 4, name
+
+
+@pytest.mark.parametrize("run", [" " * 1_200_000, "\n" * 1_200_000, " \n" * 600_000])
+def test_long_runs_of_white_space(spark, tmp_path, run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [f"before{run}after", run, f"{run}x <|endoftext|>"]
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = registry.queries()["op3_packing"](spark, str(tmp_path)).collect()
+    for i, e in enumerate(ids):
+        own, at = np.array([*e.ids, 0], "<u4"), 0
+        for piece in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece):
+            assert piece.ids_crc32 == zlib.crc32(own[at : at + piece.length].tobytes())
+            at += piece.length
+        assert at == len(own)
+    assert corpus_pipeline.pack(spark, docs, "").count() == len(rows)
+
+
+def test_warc_identifiers_of_any_characters(spark, tmp_path):
+    ids = ["a\r\nWARC-Type: x", " outer spaces ", "ünï+code%20", "\r\n\r\n", "plain", "", None]
+    pages = spark.createDataFrame([(i, "u", h) for i in ids for h in ("same", f"own {i}")], "page_id string, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "warc"))
+    rows = warc.read_archives(spark, str(tmp_path / "warc")).where("is_last").collect()
+    assert collections.Counter(r.page_id for r in rows) == collections.Counter(ids * 2)
+    assert {r.refers_to for r in rows if r.record_type == "revisit"} == {""} and sum(r.record_type == "revisit" for r in rows) == len(ids) - 1
+
+
 def test_empty_pipeline(spark, tmp_path):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
