@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import exact_dedup, langid, mixing, mpeg_audio, near_dedup, packing, pii, repeats, sharding, warc
+from shelfmark.llm import alignment, conversations, exact_dedup, langid, mixing, mpeg_audio, near_dedup, packing, pii, repeats, sharding, toxicity, warc
 
-MODULES = (mixing, pii, warc, langid, exact_dedup, sharding, mpeg_audio, packing, near_dedup, repeats)
+MODULES = (mixing, pii, warc, langid, exact_dedup, sharding, mpeg_audio, packing, near_dedup, repeats, toxicity, conversations, alignment)
 
 
 def queries() -> dict:
