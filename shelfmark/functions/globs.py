@@ -32,7 +32,7 @@ def _range(body: str) -> list[str] | None:
     return [f"{v:0{width}d}" if number else chr(v) for v in values]
 
 
-def _braces(pattern: str) -> list[str]:
+def braces(pattern: str) -> list[str]:
     """Alternatives of the first outermost ``{a,b}`` or range, expanded recursively."""
     depth, start, cuts = 0, -1, []
     for i, c in enumerate(pattern):
@@ -49,7 +49,7 @@ def _braces(pattern: str) -> list[str]:
                 if len(cuts) > 1:
                     values = [pattern[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], i], strict=True)]
                 if values is not None:
-                    return [x for v in values for x in _braces(pattern[:start] + v + pattern[i + 1 :])]
+                    return [x for v in values for x in braces(pattern[:start] + v + pattern[i + 1 :])]
     return [pattern]
 
 
@@ -68,15 +68,15 @@ def _group(seg: str, at: int) -> tuple[list[str], int] | None:
     return None
 
 
-def _segment(seg: str, dot: bool, start: bool = True) -> str:
-    """``start``: whether the text begins here, where a leading dot counts."""
+def segment(seg: str, dot: bool, start: bool = True) -> str:
+    """Regular expression of one segment.  ``start``: whether the text begins here, where a leading dot counts."""
     out, i, n = [], 0, len(seg)
     while i < n:
         c, begin = seg[i], start and i == 0
         if c in "+@!?*" and seg[i + 1 : i + 2] == "(" and (found := _group(seg, i + 1)):
-            options = "|".join(_segment(o, dot, begin) for o in found[0])
+            options = "|".join(segment(o, dot, begin) for o in found[0])
             if c == "!":
-                rest = _segment(seg[found[1] + 1 :], dot, False)
+                rest = segment(seg[found[1] + 1 :], dot, False)
                 plain = "" if dot or not begin else r"(?!\.)"
                 return "".join(out) + f"{plain}(?!(?:{options}){rest}(?:/|$))[^/]*{rest}"
             out.append(f"(?:{options})" + c.replace("@", ""))
@@ -110,7 +110,7 @@ def _segment(seg: str, dot: bool, start: bool = True) -> str:
     return "".join(out)
 
 
-def _split(pattern: str) -> list[str]:
+def split(pattern: str) -> list[str]:
     """Segments; a slash within a parenthesis does not separate."""
     parts, depth = [""], 0
     for i, c in enumerate(pattern):
@@ -125,14 +125,14 @@ def _split(pattern: str) -> list[str]:
 
 def _one(pattern: str, dot: bool) -> str:
     any_segment = "[^/]+" if dot else r"[^/.][^/]*"
-    parts = _split(pattern)
+    parts = split(pattern)
     out = []
     for k, seg in enumerate(parts):
         last = k == len(parts) - 1
         if seg == "**":
             out.append(f"{any_segment}(?:/{any_segment})*/?" if last else f"(?:{any_segment}/)*")
         else:
-            out.append(_segment(seg, dot) + ("" if last else "/"))
+            out.append(segment(seg, dot) + ("" if last else "/"))
     return "".join(out)
 
 
@@ -140,6 +140,6 @@ def _one(pattern: str, dot: bool) -> str:
 def glob_regex(pattern: str, dot: bool = False) -> str:
     """Anchored regular expression of a glob over whole relative paths."""
     bare = pattern.lstrip("!") if not pattern.startswith("!(") else pattern
-    options = "|".join(_one(p, dot) for p in _braces(bare))
+    options = "|".join(_one(p, dot) for p in braces(bare))
     negated = (len(pattern) - len(bare)) % 2
     return f"^(?!(?:{options})$)(?s:.*)$" if negated else f"^(?:{options})$"

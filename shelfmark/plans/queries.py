@@ -20,7 +20,8 @@ from shelfmark.operators.execution import execute
 from shelfmark.sinks import rows
 from shelfmark.sources.inventory import excluded, hidden, listing, scan
 from shelfmark.sources.json_text import safe_parse
-from shelfmark.tables import scratch, staged
+from shelfmark.sinks.files import make_files
+from shelfmark.tables import mounted, scratch, staged
 
 BASE = "/base"
 EXTENSIONS = (".jpg", ".PDF", ".txt", ".Ts", ".csv", ".zip", ".mp3", ".pptx", ".xyz", "", ".MD", ".tar.gz")
@@ -266,17 +267,20 @@ def existence_probe(spark, sf_dir):
 # --- files on disk ----------------------------------------------------------------------------
 
 
-def tree(spark: SparkSession, sf_dir: str) -> str:
-    """A new folder with a file for each of the 25 nations, a hidden and an excluded one."""
-    root = scratch(spark, "tree").removeprefix("file://")
+def tree(spark: SparkSession, files: DataFrame, name: str) -> str:
+    """A new folder with files (rel_path, size), which tasks write."""
+    root = mounted(scratch(spark, name))
+    os.makedirs(root)
+    make_files(files, root)
+    return root
+
+
+def nation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each of the 25 nations, a hidden and an excluded one."""
     ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("n_nationkey") % len(EXTENSIONS) + 1).cast("int"))
     rel = F.concat("n_regionkey", F.lit("/deep/"), "n_name", ext)
-    files = [(r.path, r.size) for r in table(spark, sf_dir, "nation").select(rel.alias("path"), (F.col("n_nationkey") * 7).alias("size")).collect()]
-    for path, size in [*files, (".hidden/x.txt", 1), ("node_modules/y.txt", 1)]:
-        os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
-        with open(f"{root}/{path}", "wb") as f:
-            f.write(b"x" * size)
-    return root
+    files = table(spark, sf_dir, "nation").select(rel.alias("rel_path"), (F.col("n_nationkey") * 7).cast("bigint").alias("size"))
+    return files.unionByName(spark.createDataFrame([(".hidden/x.txt", 1), ("node_modules/y.txt", 1)], "rel_path string, size bigint"))
 
 
 _TREE = f"""tree AS (SELECT *, regexp_extract(rel_path, '[^/]*$') AS filename, {ext_sql("rel_path")} AS extension FROM (
@@ -288,7 +292,7 @@ scanned AS (SELECT t.*, category, category AS target_folder, {named_sql("filenam
 
 @query("scan_tree", f"WITH {_TREE} SELECT rel_path, filename, extension, size, category, target_folder, suggested_name, filename <> suggested_name AS needs_rename FROM scanned")
 def scan_tree(spark, sf_dir):
-    files = scan(spark, tree(spark, sf_dir), CONFIG)
+    files = scan(spark, tree(spark, nation_files(spark, sf_dir), "tree"), CONFIG)
     return files.select("rel_path", "filename", "extension", "size", "category", "target_folder", "suggested_name", "needs_rename")
 
 
@@ -296,13 +300,31 @@ def scan_tree(spark, sf_dir):
 SELECT rel_path AS source, new_path AS target, 'success' AS status, size FROM moved WHERE new_path <> rel_path""")
 def execute_tree(spark, sf_dir):
     """Scan, plan, rename the files, and list where they are now."""
-    root = tree(spark, sf_dir)
+    root = tree(spark, nation_files(spark, sf_dir), "tree")
     done = staged(execute(planning.plan_operations(scan(spark, root, CONFIG), CONFIG, root)), "done")
     below = [F.substring(c, len(root) + 2, 1 << 20).alias(n) for c, n in (("original_path", "source"), ("new_path", "target"))]
     now = listing(spark, root).where("is_file").select(F.col("rel_path").alias("target"), "size")
     return done.select(*below, "status").join(now, "target")
 
 
+def skewed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per part: all of one size in one folder, others down a chain of folders, in many small ones, and in excluded ones at several depths."""
+    key = F.col("p_partkey")
+    chain = F.array_join(F.transform(F.sequence(F.lit(0), (key % 40).cast("int")), lambda i: F.concat(F.lit("c"), i.cast("string"))), "/")
+    folder = F.when(key % 2 == 0, "big").when(key % 8 == 1, chain).when(key % 8 == 3, F.concat(F.lit("w"), key.cast("string"), F.lit("/node_modules/sub"))).when(
+        key % 8 == 5, F.concat(F.lit("a/"), (key % 9).cast("string"), F.lit("/b/below"))).otherwise(F.concat(F.lit("w"), key.cast("string")))
+    return table(spark, sf_dir, "part").select(F.concat(folder, F.lit("/"), key.cast("string"), F.lit(".txt")).alias("rel_path"), (key % 10).cast("bigint").alias("size"))
+
+
+@query("scan_skewed_tree", """SELECT folder || '/' || p_partkey || '.txt' AS rel_path, CAST(p_partkey % 10 AS BIGINT) AS size FROM (SELECT p_partkey,
+  CASE WHEN p_partkey % 2 = 0 THEN 'big' WHEN p_partkey % 8 = 1 THEN array_to_string(list_transform(range(p_partkey % 40 + 1), lambda i: 'c' || i), '/') ELSE 'w' || p_partkey END AS folder
+  FROM part WHERE p_partkey % 8 NOT IN (3, 5))""")
+def scan_skewed_tree(spark, sf_dir):
+    """Listing by rounds; excluded folders are not entered."""
+    root = tree(spark, skewed_files(spark, sf_dir), "skewed")
+    return listing(spark, root, ("**/node_modules/**", "a/*/b/**")).where("is_file").select("rel_path", "size")
+
+
 # --- planning, execution, counts --------------------------------------------------------------
 
 

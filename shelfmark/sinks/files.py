@@ -1,9 +1,11 @@
-"""Single files that the driver writes."""
+"""Files: texts that the driver writes, and many files that tasks write."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from shelfmark.operators import manifest as m
@@ -27,3 +29,18 @@ def save_manifest(document: DataFrame, path: str) -> None:
 
 def save_markdown(document: DataFrame, path: str, title: str = m.TITLE) -> None:
     write_text(path, m.markdown(document, title).first()["markdown"])
+
+
+def make_files(files: DataFrame, root: str) -> int:
+    """Write files of (rel_path, size) below a mounted folder, in the tasks that have the rows; their number."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                full = os.path.join(root, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "wb") as f:
+                    f.truncate(size)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.select("rel_path", "size").mapInArrow(run, "n bigint").groupBy().sum("n").first()[0] or 0

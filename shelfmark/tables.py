@@ -31,3 +31,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mounted(path: str) -> str:
+    """The path of a folder that the driver and all executors have mounted, without its scheme."""
+    scheme, found, rest = path.partition("://")
+    if found and scheme != "file":
+        raise ValueError(f"files are listed, moved and written in place in mounted folders only, not in {path}")
+    return rest if found else path.removeprefix("file:")
