@@ -1,12 +1,19 @@
-"""Manifests: operations joined with their first error, as rows, as a document, as Markdown."""
+"""Manifests: operations joined with their first error, as rows and as documents (JSON, Markdown).
+
+A document's blocks are one per entry (``sinks.documents``), so manifests of any length are written by tasks.
+"""
 
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.sinks.documents import Document
+from shelfmark.tables import staged
+
 TITLE = "File Organization Manifest"
 
 
@@ -29,16 +36,31 @@ def iso(timestamp: Column) -> Column:
     return F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSX")
 
 
-def manifest(entry_rows: DataFrame, successful: int, failed: int, timestamp: Column) -> DataFrame:
-    """The one-row document.  The counts are the caller's, as are the errors behind the entries."""
-    ordered = F.array_sort(F.collect_list(F.struct("scan_index", "timestamp", "operation", "status", "error")))
-    strip = F.transform(ordered, lambda e: F.struct(e["timestamp"].alias("timestamp"), e["operation"].alias("operation"), e["status"].alias("status"), e["error"].alias("error")))
-    return entry_rows.agg(F.count(F.lit(1)).alias("total_operations"), strip.alias("entries")).select(
-        timestamp.alias("generated_at"), "total_operations", F.lit(successful).cast("long").alias("successful"),
-        F.lit(failed).cast("long").alias("failed"), "entries",
+@dataclass(frozen=True)
+class Manifest:
+    """Staged entries under a header."""
+
+    entries: DataFrame
+    generated_at: str
+    total_operations: int
+    successful: int
+    failed: int
+
+
+def header(entry_rows: DataFrame, successful: int, failed: int, timestamp: str) -> DataFrame:
+    """One row: generated_at, total_operations, successful, failed.  The counts are the caller's, as are the
+    errors behind the entries."""
+    return entry_rows.agg(F.count(F.lit(1)).alias("total_operations")).select(
+        F.lit(timestamp).alias("generated_at"), "total_operations", F.lit(successful).cast("long").alias("successful"), F.lit(failed).cast("long").alias("failed")
     )
 
 
+def manifest(entry_rows: DataFrame, successful: int, failed: int, timestamp: str) -> Manifest:
+    """The manifest of entries, which are evaluated once."""
+    rows = staged(entry_rows, "entries")
+    return Manifest(rows, **header(rows, successful, failed, timestamp).first().asDict())
+
+
 def block(operation: Column, status: Column, error: Column) -> Column:
     """Markdown of one entry, with its final line break."""
     mark = F.when(status == "success", "✓").otherwise("✗")
@@ -52,26 +74,41 @@ def block(operation: Column, status: Column, error: Column) -> Column:
     return F.concat(F.concat_ws("\n", *lines), F.lit("\n"))
 
 
-def markdown(document: DataFrame, title: str = TITLE) -> DataFrame:
-    """The document as one string column ``markdown``."""
-    head = F.concat(
-        F.lit(f"# {title}\n\n**Generated:** "), "generated_at", F.lit("\n\n**Total Operations:** "), F.col("total_operations").cast("string"),
-        F.lit("\n**Successful:** "), F.col("successful").cast("string"), F.lit("\n**Failed:** "), F.col("failed").cast("string"), F.lit("\n"),
-    )
-    blocks = F.array_join(F.transform("entries", lambda e: block(e["operation"], e["status"], e["error"])), "\n")
-    return document.select(F.when(F.size("entries") > 0, F.concat(head, F.lit("\n## Operations\n\n"), blocks)).otherwise(head).alias("markdown"))
+def markdown(document: Manifest, title: str = TITLE) -> Document:
+    """The manifest as Markdown: a block per entry."""
+    m = document
+    head = f"# {title}\n\n**Generated:** {m.generated_at}\n\n**Total Operations:** {m.total_operations}\n**Successful:** {m.successful}\n**Failed:** {m.failed}\n"
+    blocks = m.entries.select("scan_index", block(F.col("operation"), F.col("status"), F.col("error")).alias("block"))
+    return Document(blocks, ("scan_index",), head + ("\n## Operations\n\n" if m.total_operations else ""), "\n")
+
+
+def quoted(text: Column) -> Column:
+    """A string as JSON."""
+    array = F.to_json(F.array(text))
+    return F.substring(array, F.lit(2), F.length(array) - 2)
 
 
 # Names in the JSON document.
-_NAMES = {"generated_at": "generatedAt", "total_operations": "totalOperations", "original_path": "originalPath", "new_path": "newPath"}
+_OPERATION = {"type": "type", "original_path": "originalPath", "new_path": "newPath", "reason": "reason"}
+
+
+def json_block(timestamp: Column, operation: Column, status: Column, error: Column) -> Column:
+    """One entry as indented JSON, without fields that are null."""
 
+    def field(indent: int, name: str, value: Column) -> Column:
+        return F.when(value.isNotNull(), F.concat(F.lit(f'{" " * indent}"{name}": '), quoted(value)))
 
-def _plain(value):
-    if hasattr(value, "asDict"):
-        return {_NAMES.get(k, k): _plain(v) for k, v in value.asDict().items() if v is not None}
-    return [_plain(v) for v in value] if isinstance(value, list) else value
+    inner = F.concat_ws(",\n", *[field(8, name, operation[column]) for column, name in _OPERATION.items()])
+    whole = F.concat(F.lit('      "operation": {\n'), inner, F.lit("\n      }"))
+    return F.concat(F.lit("    {\n"), F.concat_ws(",\n", field(6, "timestamp", timestamp), whole, field(6, "status", status), field(6, "error", error)), F.lit("\n    }"))
 
 
-def to_json(document: DataFrame) -> str:
-    """The document as pretty JSON; it is collected, as its sink is one file."""
-    return json.dumps(_plain(document.first()), indent=2, ensure_ascii=False)
+def json_document(document: Manifest) -> Document:
+    """The manifest as JSON with an indent of two spaces."""
+    m = document
+    fields = {"generatedAt": m.generated_at, "totalOperations": m.total_operations, "successful": m.successful, "failed": m.failed, "entries": []}
+    text = json.dumps(fields, indent=2, ensure_ascii=False)
+    blocks = m.entries.select("scan_index", json_block(*[F.col(c) for c in ("timestamp", "operation", "status", "error")]).alias("block"))
+    if not m.total_operations:
+        return Document(blocks, ("scan_index",), text)
+    return Document(blocks, ("scan_index",), text.removesuffix("]\n}") + "\n", ",\n", "\n  ]\n}")

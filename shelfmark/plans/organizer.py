@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +33,13 @@ class Organizer:
     def execute(self, operations: DataFrame) -> DataFrame:
         return execution.execute(operations, self.config.dry_run, logger=self.logger)
 
-    def manifest(self, results: DataFrame, timestamp: str | None = None) -> DataFrame:
-        """The one-row document; one timestamp for all entries."""
-        at = F.lit(timestamp) if timestamp else manifest.iso(F.current_timestamp())
+    def manifest(self, results: DataFrame, timestamp: str | None = None) -> manifest.Manifest:
+        """The manifest of an execution; one timestamp for all entries."""
+        at = timestamp or datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
         counts = summary.outcome_counts(results).first()
-        rows = manifest.entries(results, summary.errors(results), at)
+        rows = manifest.entries(results, summary.errors(results), F.lit(at))
         return manifest.manifest(rows, counts["successful"], counts["failed"], at)
 
-    def save_manifests(self, document: DataFrame, folder: str) -> None:
+    def save_manifests(self, document: manifest.Manifest, folder: str) -> None:
         save_manifest(document, os.path.join(folder, "manifest.json"))
         save_markdown(document, os.path.join(folder, "manifest.md"))

@@ -17,10 +17,11 @@ from shelfmark.functions import guards, naming, paths
 from shelfmark.operators import conflicts, logs, manifest, planning, summary
 from shelfmark.operators.classify import classify, classify_by_table, rule_table, with_names
 from shelfmark.operators.execution import execute
-from shelfmark.sinks import rows
+from shelfmark.sinks import documents, rows
 from shelfmark.sources.inventory import excluded, hidden, listing, scan
 from shelfmark.sources.json_text import safe_parse
-from shelfmark.sinks.files import make_files
+from shelfmark.sinks.files import make_files, save_manifest, save_markdown
+from shelfmark.sinks.lines import committed, read_lines
 from shelfmark.tables import mounted, scratch, staged
 
 BASE = "/base"
@@ -428,8 +429,8 @@ def manifest_entries(spark, sf_dir):
 
 @query("manifest_header", f"""{_ENTRIES} SELECT '{STAMP}' AS generated_at, count(*) AS total_operations, CAST(7 AS BIGINT) AS successful, CAST(3 AS BIGINT) AS failed, count(*) AS n_entries FROM entries""")
 def manifest_header(spark, sf_dir):
-    document = manifest.manifest(entry_rows(spark, sf_dir), 7, 3, F.lit(STAMP))
-    return document.select("generated_at", "total_operations", "successful", "failed", F.size("entries").cast("bigint").alias("n_entries"))
+    head = manifest.header(entry_rows(spark, sf_dir), 7, 3, STAMP)
+    return head.withColumn("n_entries", F.col("total_operations"))
 
 
 @query("manifest_markdown_blocks", f"{_ENTRIES} SELECT scan_index, {_BLOCK} AS block FROM entries")
@@ -437,11 +438,48 @@ def manifest_markdown_blocks(spark, sf_dir):
     return entry_rows(spark, sf_dir).select("scan_index", manifest.block(F.col("operation"), F.col("status"), F.col("error")).alias("block"))
 
 
-@query("manifest_markdown", f"""{_ENTRIES} SELECT '# File Organization Manifest' || chr(10) || chr(10) || '**Generated:** {STAMP}' || chr(10) || chr(10)
-  || '**Total Operations:** ' || count(*) || chr(10) || '**Successful:** 7' || chr(10) || '**Failed:** 3' || chr(10) || chr(10) || '## Operations' || chr(10) || chr(10)
-  || string_agg({_BLOCK}, chr(10) ORDER BY scan_index) AS markdown FROM entries""")
+_MARKDOWN_HEAD = f"""'# File Organization Manifest' || chr(10) || chr(10) || '**Generated:** {STAMP}' || chr(10) || chr(10)
+  || '**Total Operations:** ' || (SELECT count(*) FROM entries) || chr(10) || '**Successful:** 7' || chr(10) || '**Failed:** 3' || chr(10) || chr(10) || '## Operations' || chr(10) || chr(10)"""
+_JSON_HEAD = f"""'{{' || chr(10) || '  "generatedAt": "{STAMP}",' || chr(10) || '  "totalOperations": ' || (SELECT count(*) FROM entries) || ',' || chr(10) || '  "successful": 7,' || chr(10)
+  || '  "failed": 3,' || chr(10) || '  "entries": [' || chr(10)"""
+_JSON_BLOCK = """'    {' || chr(10) || '      "timestamp": ' || to_json(timestamp) || ',' || chr(10) || '      "operation": {' || chr(10) || '        "type": ' || to_json(type) || ',' || chr(10)
+  || '        "originalPath": ' || to_json(original_path) || ',' || chr(10) || '        "newPath": ' || to_json(new_path) || ',' || chr(10) || '        "reason": ' || to_json(reason) || chr(10)
+  || '      },' || chr(10) || '      "status": ' || to_json(status) || CASE WHEN error IS NULL THEN '' ELSE ',' || chr(10) || '      "error": ' || to_json(error) END || chr(10) || '    }'"""
+
+
+def _chunks_sql(head: str, block: str, between: str, tail: str = "NULL") -> str:
+    """(place, offset, chunk) of a document."""
+    return f"""{_ENTRIES}, parts AS (SELECT 0 AS place, {head} AS chunk UNION ALL
+  SELECT row_number() OVER (ORDER BY scan_index), CASE WHEN row_number() OVER (ORDER BY scan_index) > 1 THEN {between} ELSE '' END || {block} FROM entries
+  UNION ALL SELECT (SELECT count(*) FROM entries) + 1, {tail}),
+chunked AS (SELECT CAST(place AS BIGINT) AS place, CAST(coalesce(sum(strlen(chunk)) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", chunk FROM parts WHERE chunk IS NOT NULL)"""
+
+
+def made_manifest(spark: SparkSession, sf_dir: str) -> manifest.Manifest:
+    return manifest.manifest(entry_rows(spark, sf_dir), 7, 3, STAMP)
+
+
+@query("manifest_markdown", f"""{_chunks_sql(_MARKDOWN_HEAD, _BLOCK, "chr(10)")} SELECT * FROM chunked""")
 def manifest_markdown(spark, sf_dir):
-    return manifest.markdown(manifest.manifest(entry_rows(spark, sf_dir), 7, 3, F.lit(STAMP)))
+    """The document's chunks with their byte offsets."""
+    return documents.chunks(manifest.markdown(made_manifest(spark, sf_dir)))[0]
+
+
+@query("manifest_json", f"""{_chunks_sql(_JSON_HEAD, _JSON_BLOCK, "',' || chr(10)", "chr(10) || '  ]' || chr(10) || '}'")} SELECT * FROM chunked""")
+def manifest_json(spark, sf_dir):
+    return documents.chunks(manifest.json_document(made_manifest(spark, sf_dir)))[0]
+
+
+@query("manifest_files", f"""{_chunks_sql(_JSON_HEAD, _JSON_BLOCK, "',' || chr(10)", "chr(10) || '  ]' || chr(10) || '}'")},
+md AS (SELECT 0 AS scan_index, {_MARKDOWN_HEAD} || string_agg({_BLOCK}, chr(10) ORDER BY scan_index) AS text FROM entries),
+whole AS (SELECT 'manifest.json' AS file, string_agg(chunk, '' ORDER BY place) || chr(10) AS text FROM chunked UNION ALL SELECT 'manifest.md', text FROM md)
+SELECT file, unnest(string_split(left(text, length(text) - 1), chr(10))) AS line FROM whole""")
+def manifest_files(spark, sf_dir):
+    """Both documents as files that tasks write in place, read back line by line."""
+    folder, made = scratch(spark, "manifests"), made_manifest(spark, sf_dir)
+    save_manifest(made, f"{folder}/manifest.json")
+    save_markdown(made, f"{folder}/manifest.md")
+    return spark.read.option("lineSep", "\n").text(folder).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
 
 
 _LEVEL = "CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'debug' WHEN 'view' THEN 'info' WHEN 'signup' THEN 'warn' ELSE 'other' END"
@@ -483,10 +521,45 @@ def log_lines(spark, sf_dir):
 @query("csv_rows", """SELECT event_id, event_id || ',' || event_type || ',' || user_id || ',' || CASE WHEN contains(p, ',') THEN '"' || replace(p, '"', '""') || '"' ELSE p END || ',' AS line
 FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN replace(props, ',', ';') ELSE props END AS p FROM events)""")
 def csv_rows(spark, sf_dir):
+    data = csv_data(spark, sf_dir).withColumn("key", F.col("event_id"))
+    return rows.csv_rows(data, "key").select(F.col("key").alias("event_id"), "line")
+
+
+_CSV_SINK = """SELECT CAST(0 AS BIGINT) AS file_no, 'event_id,event_type,user_id,p,none' AS line UNION ALL SELECT CAST(1 AS BIGINT), line FROM ({})"""
+
+
+def csv_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     p = F.when(F.col("event_id") % 3 == 0, F.replace("props", F.lit(","), F.lit(";"))).otherwise(F.col("props"))
-    data = events.select(F.col("event_id").alias("key"), "event_id", "event_type", "user_id", p.alias("p"), F.lit(None).cast("string").alias("none"))
-    return rows.csv_rows(data, "key").select(F.col("key").alias("event_id"), "line")
+    return events.select("event_id", "event_type", "user_id", p.alias("p"), F.lit(None).cast("string").alias("none"))
+
+
+@query("csv_sink", _CSV_SINK.format(SQL["csv_rows"]))
+def csv_sink(spark, sf_dir):
+    """CSV files with one header, read back; ``file_no`` is 0 for the first file, which is the header's, else 1."""
+    path = scratch(spark, "csv")
+    rows.write_csv(csv_data(spark, sf_dir), path, ("event_id",))
+    first = committed(path)[0].rpartition("/")[2]
+    return read_lines(spark, path).select((F.col("file") != first).cast("bigint").alias("file_no"), "line")
+
+
+@query("log_sink", f"""SELECT line FROM ({SQL["log_lines"]}) WHERE event_id % 2 = 0 UNION ALL SELECT line FROM ({SQL["log_lines"]}) WHERE event_id % 2 = 1""")
+def log_sink(spark, sf_dir):
+    """Log lines appended to files twice, read back."""
+    path = scratch(spark, "log")
+    for rest in (0, 1):
+        rows.append_text(log_lines(spark, sf_dir).where(F.col("event_id") % 2 == rest).select("line"), path)
+    return read_lines(spark, path).select("line")
+
+
+@query("json_sink", """WITH j AS (SELECT row_number() OVER (ORDER BY event_id) AS n, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS t FROM events)
+SELECT CASE WHEN n = 1 THEN '[' ELSE '' END || t || CASE WHEN n = (SELECT count(*) FROM events) THEN ']' ELSE ',' END AS line FROM j""")
+def json_sink(spark, sf_dir):
+    """All events as one JSON array in one file, read back in pieces that end before a ``{``."""
+    path = scratch(spark, "json")
+    documents.save(rows.json_array(table(spark, sf_dir, "events").select("event_id", "event_type"), ("event_id",)), f"{path}/events.json")
+    pieces = spark.read.option("lineSep", "},").text(path).select(F.col("value"))
+    return pieces.select(F.when(F.endswith("value", F.lit("]")), F.col("value")).otherwise(F.concat("value", F.lit("},"))).alias("line"))
 
 
 @query("table_rows", "SELECT event_id, '- ' || event_type AS line FROM events")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from shelfmark.operators import manifest as m
+from shelfmark.sinks.documents import save
 
 
 def write_text(path: str, text: str, append: bool = False) -> None:
@@ -23,12 +24,12 @@ def read_text(path: str) -> str:
         return f.read()
 
 
-def save_manifest(document: DataFrame, path: str) -> None:
-    write_text(path, m.to_json(document))
+def save_manifest(document: m.Manifest, path: str) -> None:
+    save(m.json_document(document), path)
 
 
-def save_markdown(document: DataFrame, path: str, title: str = m.TITLE) -> None:
-    write_text(path, m.markdown(document, title).first()["markdown"])
+def save_markdown(document: m.Manifest, path: str, title: str = m.TITLE) -> None:
+    save(m.markdown(document, title), path)
 
 
 def make_files(files: DataFrame, root: str) -> int:

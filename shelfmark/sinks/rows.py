@@ -1,4 +1,4 @@
-"""Text sinks as string columns: CSV (own dialect), table, JSON, log lines."""
+"""Text sinks: CSV (own dialect), table and JSON rows as string columns, and as files."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.sinks.documents import Document
+from shelfmark.sinks.lines import write_lines
+
 COMPLEX = (T.StructType, T.ArrayType, T.MapType)
 
 
@@ -37,6 +40,23 @@ def json_rows(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields])).alias("line"))
 
 
+def write_csv(df: DataFrame, path: str, order: tuple[str, ...] = (), mode: str = "overwrite") -> None:
+    """CSV files with one header; without rows there is none.  Files concatenated in their order are sorted by ``order``."""
+    rows = csv_rows(df.orderBy(*order) if order else df)
+    write_lines(rows, path, csv_header(df), "csv", mode)
+
+
+def write_table(df: DataFrame, column: str, path: str, order: tuple[str, ...] = (), mode: str = "overwrite") -> None:
+    """A list item per row."""
+    write_lines((df.orderBy(*order) if order else df).select(table_rows(F.col(f"`{column}`")).alias("line")), path, suffix="txt", mode=mode)
+
+
+def json_array(df: DataFrame, order: tuple[str, ...], indent: str = "") -> Document:
+    """All rows as one JSON array; compact, or with a row a line."""
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return Document(df.select(*order, text.alias("block")), order, f"[{indent}", f",{indent}", f"{indent}]")
+
+
 def append_text(lines: DataFrame, path: str) -> None:
-    """Append one string column to a folder of text files."""
-    lines.write.mode("append").text(path)
+    """Append one string column (log lines) to a folder of text files; each append counts once."""
+    write_lines(lines, path, suffix="log")

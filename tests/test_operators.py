@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from shelfmark.config import Config, NamingConvention, Rule
 from shelfmark.operators import conflicts, logs, manifest, summary
 from shelfmark.operators.classify import classify, classify_by_table, rule_table
 from shelfmark.operators.planning import plan_operations
-from shelfmark.sinks import rows
+from shelfmark.sinks import documents, rows
 
 RULES = (
     Rule("images", (".jpg", ".png"), None, "images"), Rule("documents", (".pdf", ".doc"), ("plan-*",), "documents"), Rule("code", (".ts", ".js"), None, "code"),
@@ -105,23 +106,37 @@ OPS = [
 OP_SCHEMA = "scan_index bigint, type string, original_path string, new_path string, reason string"
 
 
+def whole(document):
+    """A document's chunks, each at its offset."""
+    rows, size = documents.chunks(document)
+    out = bytearray(size)
+    for r in rows.collect():
+        out[r.offset : r.offset + len(r.chunk.encode())] = r.chunk.encode()
+    assert len(out) == size
+    return out.decode()
+
+
 def test_manifest(spark):
     ops = spark.createDataFrame(OPS, OP_SCHEMA)
     errors = spark.createDataFrame([(1, "/source/file1.txt", "later"), (0, "/source/file1.txt", "File locked")], "error_index bigint, file string, error string")
-    at = F.lit("2024-01-01T00:00:00.000Z")
-    document = manifest.manifest(manifest.entries(ops, errors, at), 1, 1, at)
-    row = document.first()
-    assert (row.total_operations, row.successful, row.failed) == (2, 1, 1)
-    assert [(e.status, e.error) for e in row.entries] == [("failed", "File locked"), ("success", None)]
-    text = manifest.markdown(document, "T").first().markdown
-    assert text == (
+    stamp = "2024-01-01T00:00:00.000Z"
+    rows = manifest.entries(ops, errors, F.lit(stamp))
+    document = manifest.manifest(rows, 1, 1, stamp)
+    assert (document.total_operations, document.successful, document.failed) == (2, 1, 1)
+    assert [(e.status, e.error) for e in document.entries.orderBy("scan_index").collect()] == [("failed", "File locked"), ("success", None)]
+    assert whole(manifest.markdown(document, "T")) == (
         "# T\n\n**Generated:** 2024-01-01T00:00:00.000Z\n\n**Total Operations:** 2\n**Successful:** 1\n**Failed:** 1\n\n## Operations\n\n"
         "### ✗ MOVE\n- **From:** `/source/file1.txt`\n- **To:** `/target/file1.txt`\n- **Reason:** Moving to target\n- **Error:** File locked\n\n"
         "### ✓ MOVE-RENAME\n- **From:** `/source/File2.txt`\n- **To:** `/source/file-2.txt`\n- **Reason:** Renaming to kebab-case\n"
     )
-    empty = manifest.manifest(manifest.entries(ops.limit(0), errors, at), 0, 0, at)
-    assert "## Operations" not in manifest.markdown(empty).first().markdown
-    assert '"totalOperations": 2' in manifest.to_json(document) and '"error": "File locked"' in manifest.to_json(document)
+    operations = [dict(zip(("type", "originalPath", "newPath", "reason"), o[1:], strict=True)) for o in OPS]
+    expected = {"generatedAt": stamp, "totalOperations": 2, "successful": 1, "failed": 1, "entries": [
+        {"timestamp": stamp, "operation": operations[0], "status": "failed", "error": "File locked"}, {"timestamp": stamp, "operation": operations[1], "status": "success"},
+    ]}
+    assert whole(manifest.json_document(document)) == json.dumps(expected, indent=2, ensure_ascii=False)
+    empty = manifest.manifest(rows.limit(0), 0, 0, stamp)
+    assert "## Operations" not in whole(manifest.markdown(empty))
+    assert whole(manifest.json_document(empty)) == json.dumps(expected | {"totalOperations": 0, "successful": 0, "failed": 0, "entries": []}, indent=2)
 
 
 def test_logs(spark):
