@@ -50,7 +50,7 @@ DICTIONARY, GATHERED = 200_000, 4_000_000
 #: Most groups in the broadcast table, and characters of a group that is in it.
 HEAD, HEAD_CHARS = 100_000, 200
 #: Bytes of text that are encoded at once.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 19
 #: Pairs are A id * SHIFT + B id.
 SHIFT = 1 << 32
 
@@ -62,6 +62,12 @@ def piece_bpe_32k() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def laid_out(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, places, all bytes) of a vocabulary's tokens."""
+    sizes = np.array([len(x) for x in tokens], np.int64)
+    return sizes, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(tokens), np.uint8)
+
+
 class ByteLevel:
     """Tokenizer A: a byte-level BPE whose special tokens are plain text."""
 
@@ -76,13 +82,13 @@ class ByteLevel:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
-        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
+        self.sizes, self.starts, self.flat = laid_out(self.bytes)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         try:
-            return self.encoding.encode(text, allowed_special=set(), disallowed_special=())
+            return np.array(self.encoding.encode(text, allowed_special=set(), disallowed_special=()), np.int64)
         except ValueError:  # the pattern's stack overflowed on a run of white space
-            return plain_encoder(self.vocabulary).encode(text, add_special_tokens=False).ids
+            return np.array(plain_encoder(self.vocabulary).encode(text, add_special_tokens=False).ids, np.int64)
 
 
 @cache
@@ -105,14 +111,14 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         self.bytes = [self.token(i) for i in range(self.model.get_piece_size())]
-        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
+        self.sizes, self.starts, self.flat = laid_out(self.bytes)
 
     def token(self, i: int) -> bytes:
         piece = self.model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text), np.int64)
 
 
 @cache
@@ -121,42 +127,87 @@ def tokenizers_of(vocabulary: str, model: str) -> tuple[ByteLevel, Pieces]:
     return ByteLevel(vocabulary), Pieces(model)
 
 
-class Aligned:
-    """Tokens and groups of one text; without tokens if the text isn't covered by both."""
+def gathered(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Concatenated slices of a flat table."""
+    ends = np.cumsum(sizes)
+    return table[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
 
-    def __init__(self, a: ByteLevel, b: Pieces, text: str | None):
-        self.a = self.b = self.ends_a = self.ends_b = np.zeros(0, np.int64)
-        if not text:
-            return
-        raw = f" {text}".encode()
-        ids_a, ids_b = a.encode(f" {text}"), b.encode(text)
-        if b"".join(map(a.bytes.__getitem__, ids_a)) != raw or b"".join(map(b.bytes.__getitem__, ids_b)) != raw:
-            return
-        self.a, self.b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-        ends_a, ends_b = np.cumsum(a.sizes[self.a]), np.cumsum(b.sizes[self.b])
-        ends = np.zeros(len(raw) + 1, bool)
+
+class Tokens:
+    """The tokens of many texts by one tokenizer, one text after the other."""
+
+    def __init__(self, tokenizer: ByteLevel | Pieces, ids: list[np.ndarray]):
+        self.tokenizer, self.counts = tokenizer, np.array([len(x) for x in ids], np.int64)
+        self.ids = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64)
+        self.sizes = tokenizer.sizes[self.ids]
+        self.text = np.repeat(np.arange(len(ids)), self.counts)
+
+    def covers(self, raw: list[bytes]) -> np.ndarray:
+        """Whether the tokens' bytes are those of each text."""
+        length = np.bincount(self.text, self.sizes, len(raw)).astype(np.int64)
+        good = length == np.array([len(x) for x in raw], np.int64)
+        keep = good[self.text]
+        own = gathered(self.tokenizer.flat, self.tokenizer.starts[self.ids[keep]], self.sizes[keep])
+        given = np.frombuffer(b"".join(x for x, ok in zip(raw, good.tolist(), strict=True) if ok), np.uint8)
+        places = np.repeat(np.flatnonzero(good), length[good])
+        good[places[own != given]] = False
+        return good
+
+    def only(self, good: np.ndarray) -> Tokens:
+        """Without those of texts that aren't good."""
+        keep = good[self.text]
+        out = object.__new__(Tokens)
+        out.tokenizer, out.counts = self.tokenizer, np.where(good, self.counts, 0)
+        out.ids, out.sizes, out.text = self.ids[keep], self.sizes[keep], self.text[keep]
+        return out
+
+
+class Aligned:
+    """Tokens and groups of many texts; texts that aren't covered by both tokenizers have none.
+
+    ``code`` is each group's place in ``names``, the distinct groups of these texts.
+    """
+
+    def __init__(self, a: ByteLevel, b: Pieces, texts: list[str | None]):
+        raw = [f" {t}".encode() if t else b"" for t in texts]
+        nothing = np.zeros(0, np.int64)
+        own_a = Tokens(a, [a.encode(f" {t}") if t else nothing for t in texts])
+        own_b = Tokens(b, [b.encode(t) if t else nothing for t in texts])
+        good = own_a.covers(raw) & own_b.covers(raw)
+        self.a, self.b = own_a.only(good), own_b.only(good)
+        ends_a, ends_b = np.cumsum(self.a.sizes), np.cumsum(self.b.sizes)
+        ends = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, bool)
         ends[ends_b] = True
-        self.ends_a = np.flatnonzero(ends[ends_a]) + 1  # numbers of tokens before a group's end
+        last_a = np.flatnonzero(ends[ends_a])  # the last tokens of groups
         ends[ends_b] = False
         ends[ends_a] = True
-        self.ends_b = np.flatnonzero(ends[ends_b]) + 1
-
-    def groups(self) -> list[str]:
-        """The groups in order; those of one token each are interned together."""
-        if not len(self.ends_a):
-            return []
-        first_a, first_b = np.append(0, self.ends_a[:-1]), np.append(0, self.ends_b[:-1])
-        single = (self.ends_a - first_a == 1) & (self.ends_b - first_b == 1)
-        codes, place = np.unique(self.a[first_a[single]] * SHIFT + self.b[first_b[single]], return_inverse=True)
-        out = np.empty(len(single), object)
-        out[single] = np.array([f"{x // SHIFT}|{x % SHIFT}" for x in codes.tolist()], object)[place] if len(codes) else []
-        for k in np.flatnonzero(~single).tolist():
-            own_a, own_b = self.a[first_a[k] : self.ends_a[k]].tolist(), self.b[first_b[k] : self.ends_b[k]].tolist()
-            out[k] = f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}"
-        return out.tolist()
-
-    def links(self) -> int:
-        return int((np.diff(self.ends_a, prepend=0) * np.diff(self.ends_b, prepend=0)).sum())
+        last_b = np.flatnonzero(ends[ends_b])
+        self.first_a, self.first_b = np.append(0, last_a[:-1] + 1), np.append(0, last_b[:-1] + 1)
+        self.size_a, self.size_b = (last - first[: len(last)] + 1 for last, first in ((last_a, self.first_a), (last_b, self.first_b)))
+        self.text = self.a.text[last_a]
+        self.name()
+
+    def name(self) -> None:
+        """Number the distinct groups; those of one shape are compared as rows of ids."""
+        self.names: list[str] = []
+        self.code = np.zeros(len(self.text), np.int64)
+        shapes = self.size_a << 32 | self.size_b
+        for shape in np.unique(shapes).tolist():
+            n_a, n_b = shape >> 32, shape & (1 << 32) - 1
+            at = np.flatnonzero(shapes == shape)
+            rows = np.hstack([self.a.ids[self.first_a[at][:, None] + np.arange(n_a)], self.b.ids[self.first_b[at][:, None] + np.arange(n_b)]]).astype(np.int32)
+            if n_a == n_b == 1:
+                keys = rows[:, 0].astype(np.int64) << 32 | rows[:, 1]
+            else:
+                keys = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1] * 4))).ravel()
+            _, one, place = np.unique(keys, return_index=True, return_inverse=True)
+            self.code[at] = place + len(self.names)
+            self.names += [f"{','.join(map(str, r[:n_a]))}|{','.join(map(str, r[n_a:]))}" for r in rows[one].tolist()]
+
+    def digests(self, n: int) -> list[str]:
+        """SHA-256 of each text's groups in order."""
+        named, ends = np.array(self.names, object)[self.code].tolist() if self.names else [], np.cumsum(np.bincount(self.text, minlength=n)).tolist()
+        return [hashlib.sha256(";".join(named[i:j]).encode()).hexdigest() if j > i else "" for i, j in zip([0, *ends], ends)]
 
 
 def ids_of(group: str) -> tuple[Counter, Counter]:
@@ -186,18 +237,24 @@ class Counts:
     def __init__(self):
         self.pairs: dict[str, np.ndarray] = {}
         self.documents: Counter[str] = Counter()
-        self.gathered: list[np.ndarray] = []
+        self.gathered: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, groups: list[str]) -> None:
-        for g in groups:
+    def add(self, names: list[str], text: np.ndarray, code: np.ndarray) -> None:
+        """Count distinct (text, code); codes are places in ``names``."""
+        if not names:
+            return
+        for g in names:
             if g not in self.pairs:
                 self.pairs[g] = expanded(g)[0]
-        self.documents.update(groups)
-        if groups:
-            own = np.unique(np.concatenate([self.pairs[g] for g in groups]))
-            self.gathered.append(own)
-            self.size += len(own)
+        self.documents.update(dict(zip(names, np.bincount(code, minlength=len(names)).tolist(), strict=True)))
+        lists = [self.pairs[g] for g in names]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        known, flat = np.unique(np.concatenate(lists), return_inverse=True)
+        each = gathered(flat, (np.cumsum(sizes) - sizes)[code], sizes[code])
+        own = np.unique(np.repeat(text, sizes[code]) << 32 | each) & (1 << 32) - 1  # a text counts a pair once
+        self.gathered.append((known, np.bincount(own, minlength=len(known))))
+        self.size += len(known)
 
     @property
     def full(self) -> bool:
@@ -206,7 +263,8 @@ class Counts:
     def drain(self) -> Iterator[tuple[list, list, list]]:
         """(pairs, groups, numbers) in portions."""
         if self.gathered:
-            pairs, n = np.unique(np.concatenate(self.gathered), return_counts=True)
+            pairs, place = np.unique(np.concatenate([p for p, _ in self.gathered]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([k for _, k in self.gathered])).astype(np.int64)
             for i in range(0, len(pairs), 100_000):
                 yield pairs[i : i + 100_000].tolist(), [None] * len(pairs[i : i + 100_000]), n[i : i + 100_000].tolist()
             groups = list(self.documents.items())
@@ -235,20 +293,21 @@ def grouped(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id"
         for batch in batches:
             id_type = batch.column(0).type
             for start, end, texts in portions(batch.column(1), TOGETHER):
-                cols: list[list] = [[] for _ in FIELDS]
-                for text in texts:
-                    own = Aligned(a, b, text)
-                    groups = own.groups()
-                    times = Counter(groups)
-                    digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
-                    row = (len(own.a), len(own.b), len(groups), own.links(), digest, rid, list(times), list(times.values()), None, None, None)
-                    for c, v in zip(cols, row, strict=True):
-                        c.append(v)
-                    rid += 1
-                    counts.add(row[6])
-                    if counts.full:
-                        yield from counted()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), *[pa.array(c, t) for c, (_, t) in zip(cols, FIELDS, strict=True)]], names=names)
+                n, own = end - start, Aligned(a, b, texts)
+                both, times = np.unique(own.text << 32 | own.code, return_counts=True)
+                text, code = both >> 32, both & (1 << 32) - 1
+                counts.add(own.names, text, code)
+                offsets = pa.array(np.append(0, np.cumsum(np.bincount(text, minlength=n))).astype(np.int32))
+                links = np.bincount(own.text, own.size_a * own.size_b, n).astype(np.int64)
+                cols = [
+                    pa.array(own.a.counts), pa.array(own.b.counts), pa.array(np.bincount(own.text, minlength=n)), pa.array(links), pa.array(own.digests(n), pa.string()),
+                    pa.array(np.arange(rid, rid + n)), pa.ListArray.from_arrays(offsets, pa.array(own.names, pa.string()).take(pa.array(code))), pa.ListArray.from_arrays(offsets, pa.array(times)),
+                    *[pa.nulls(n, t) for _, t in FIELDS[8:]],
+                ]
+                rid += n
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), *cols], names=names)
+                if counts.full:
+                    yield from counted()
         if id_type is not None:
             yield from counted()
 
