@@ -12,23 +12,64 @@ from __future__ import annotations
 import re
 from functools import cache
 
-#: Most strings that one numeric or letter range stands for.
-RANGE = 10_000
+#: Ranges of more numbers, one apart, become patterns of digits; others of more strings are refused.
+LONG, RANGE = 100, 10_000
+
+
+def _from(digits: str) -> list[str]:
+    """Patterns of the numbers of that many digits from this one on."""
+    if not digits.strip("0"):
+        return ["[0-9]" * len(digits)]
+    above = [f"[{int(digits[0]) + 1}-9]" + "[0-9]" * (len(digits) - 1)] if digits[0] < "9" else []
+    return [digits[0] + p for p in _from(digits[1:])] + above
+
+
+def _up_to(digits: str) -> list[str]:
+    if not digits.strip("9"):
+        return ["[0-9]" * len(digits)]
+    below = [f"[0-{int(digits[0]) - 1}]" + "[0-9]" * (len(digits) - 1)] if digits[0] > "0" else []
+    return below + [digits[0] + p for p in _up_to(digits[1:])]
+
+
+def _between(low: str, high: str) -> list[str]:
+    """Patterns of the numbers between two of equally many digits."""
+    if low == high:
+        return [low]
+    if low[0] == high[0]:
+        return [low[0] + p for p in _between(low[1:], high[1:])]
+    inner = [f"[{int(low[0]) + 1}-{int(high[0]) - 1}]" + "[0-9]" * (len(low) - 1)] if int(high[0]) - int(low[0]) > 1 else []
+    return [low[0] + p for p in _from(low[1:])] + inner + [high[0] + p for p in _up_to(high[1:])]
+
+
+def _numbers(low: int, high: int, width: int) -> list[str]:
+    """Patterns of all numbers from ``low`` to ``high``, padded to ``width``; a sign counts as a place."""
+    out = []
+    if low < 0:
+        out += ["-" + p for p in _numbers(max(1, -high), -low, max(0, width - 1))]
+        low = 0
+    while low <= high:
+        digits = max(width, len(str(low)))
+        last = min(high, 10**digits - 1)
+        out += _between(f"{low:0{digits}d}", f"{last:0{digits}d}")
+        low = last + 1
+    return out
 
 
 def _range(body: str) -> list[str] | None:
-    """The strings of ``1..3``, ``a..c`` or ``01..10..2``; None if it is no range."""
+    """The strings of ``1..3``, ``a..c`` or ``01..10..2`` (patterns, if there are many); None if it is no range."""
     m = re.fullmatch(r"(-?[0-9]+)\.\.(-?[0-9]+)(?:\.\.(-?[0-9]+))?|([A-Za-z])\.\.([A-Za-z])(?:\.\.(-?[0-9]+))?", body)
     if not m:
         return None
     number = m[1] is not None
     first, last = (int(m[1]), int(m[2])) if number else (ord(m[4]), ord(m[5]))
     step = abs(int(m[3] or m[6] or 1)) or 1
+    padded = number and any(len(x.lstrip("-")) > 1 and x.lstrip("-")[0] == "0" for x in (m[1], m[2]))
+    width = max(len(m[1]), len(m[2])) if padded else 0
+    if number and step == 1 and abs(last - first) >= LONG:
+        return _numbers(min(first, last), max(first, last), width)
     if abs(last - first) // step >= RANGE:
         raise ValueError(f"range is too long: {{{body}}}")
     values = range(first, last + (1 if last >= first else -1), step if last >= first else -step)
-    padded = number and any(len(x.lstrip("-")) > 1 and x.lstrip("-")[0] == "0" for x in (m[1], m[2]))
-    width = max(len(m[1]), len(m[2])) if padded else 0
     return [f"{v:0{width}d}" if number else chr(v) for v in values]
 
 
@@ -142,4 +183,43 @@ def glob_regex(pattern: str, dot: bool = False) -> str:
     bare = pattern.lstrip("!") if not pattern.startswith("!(") else pattern
     options = "|".join(_one(p, dot) for p in braces(bare))
     negated = (len(pattern) - len(bare)) % 2
-    return f"^(?!(?:{options})$)(?s:.*)$" if negated else f"^(?:{options})$"
+    end = r"(?![\s\S])"  # the very end; ``$`` would allow a line break after it
+    return f"^(?!(?:{options}){end})(?s:.*)" if negated else f"^(?:{options}){end}"
+
+
+#: Around a path, so that literals at its start and end are told from others.
+START, END = "\x02", "\x03"
+
+
+def literals(pattern: str) -> list[list[str]]:
+    """For each alternative of a glob, strings that every path it matches has (between START and END)."""
+    bare = pattern.lstrip("!") if not pattern.startswith("!(") else pattern
+    if (len(pattern) - len(bare)) % 2:
+        return [[]]
+    return [_literals(p) for p in braces(bare)]
+
+
+def _literals(pattern: str) -> list[str]:
+    runs, parts = [START], split(pattern)
+    for k, seg in enumerate(parts):
+        last, i = k == len(parts) - 1, 0
+        if seg == "**":
+            runs.append("")
+            continue
+        while i < len(seg):
+            c = seg[i]
+            if c in "+@!?*" and seg[i + 1 : i + 2] == "(" and (found := _group(seg, i + 1)):
+                runs.append("")
+                i = found[1] + 1
+                continue
+            if c in "*?":
+                runs.append("")
+            elif c == "[" and (end := seg.find("]", i + 2)) > 0:
+                runs.append("")
+                i = end
+            else:
+                i += c == "\\" and i + 1 < len(seg)
+                runs[-1] += seg[i]
+            i += 1
+        runs[-1] += END if last else "/"
+    return [r for r in runs if r.strip(START + END)]

@@ -1,8 +1,8 @@
 """First-match classification of files by an ordered rule table.
 
 ``classify`` compiles the rules to one CASE expression: no join and no shuffle, and the order of
-the rules is that of the branches.  ``classify_by_table`` joins with rules held as data.  A
-rule matches if it has the file's (lower-cased) extension and, should it have patterns, one
+the rules is that of the branches.  ``classify_by_table`` joins with rules held as data, and
+``classify_by_index`` looks very many patterns up.  A rule matches if it has the file's (lower-cased) extension and, should it have patterns, one
 matches the relative path; an empty list of patterns matches nothing.
 """
 
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from shelfmark.config import Rule
 from shelfmark.functions.globs import glob_regex
 from shelfmark.functions.paths import extension, filename
+from shelfmark.operators.pattern_index import classify_by_index
 
-#: From this many rules on the join with a rule table is preferred.
+#: From this many rules on the join with a rule table is preferred, from this many patterns on their index.
 MANY_RULES = 200
 #: A rule table of up to this many (extension, rule) rows is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 100_000
@@ -47,6 +48,8 @@ def with_names(files: DataFrame) -> DataFrame:
 
 def classify(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Add ``category`` and ``target_folder`` (null where no rule matches)."""
+    if sum(len(r.patterns or ()) for r in rules) >= MANY_RULES:
+        return classify_by_index(files, rules)
     if len(rules) >= MANY_RULES:
         return classify_by_table(files, rule_table(files.sparkSession, rules))
     ext, path = F.col("extension"), F.col("rel_path")

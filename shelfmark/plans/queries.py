@@ -238,6 +238,23 @@ def classify_table_patterns(spark, sf_dir):
     return classify_by_table(inventory(spark, sf_dir), rule_table(spark, PATTERN_RULES)).select("scan_index", "category")
 
 
+#: One rule for each key, and one of each hundred for ranges of keys.
+MANY = tuple(
+    Rule(f"part{k}", (".txt", ".pdf", ".jpg", ".csv", ".md"), (f"*/{k}[0-9]/*", f"**/{k}??/*a*") if k % 100 == 0 else (f"*/{k}/*",), None if k % 5 == 0 else f"f{k % 7}")
+    for k in range(10_000)
+)
+
+
+@query("classify_pattern_index", rf"""WITH {INV}, first AS (SELECT *, CASE WHEN extension IN ('.txt', '.pdf', '.jpg', '.csv', '.md') THEN least(
+  CASE WHEN scan_index < 10000 AND scan_index % 100 <> 0 THEN scan_index END,
+  CASE WHEN scan_index // 10 BETWEEN 1 AND 9999 AND (scan_index // 10) % 100 = 0 THEN scan_index // 10 END,
+  CASE WHEN scan_index // 100 BETWEEN 1 AND 9999 AND (scan_index // 100) % 100 = 0 AND contains(filename, 'a') THEN scan_index // 100 END) END AS k FROM inv)
+SELECT scan_index, 'part' || k AS category, CASE WHEN k % 5 <> 0 THEN 'f' || (k % 7) END AS target_folder FROM first""")
+def classify_pattern_index(spark, sf_dir):
+    """10,000 rules with patterns."""
+    return classify(inventory(spark, sf_dir), MANY).select("scan_index", "category", "target_folder")
+
+
 def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     bare = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "^https?://[^/]*/", "")

@@ -97,8 +97,9 @@ def test_globs():
     assert not re.search(glob_regex("node_modules/**", dot=True), "pkg/node_modules/x")
     assert re.search(glob_regex(".DS_Store", dot=True), ".DS_Store")
     assert re.search(glob_regex("dist/**", dot=True), "dist/en/853/") and not re.search(glob_regex("dist/**", dot=True), "dist/")
+    assert re.search(glob_regex("{1..20000}"), "19999") and not re.search(glob_regex("{1..20000}"), "20001")
     with pytest.raises(ValueError):
-        glob_regex("{1..1000000}")
+        glob_regex("{1..200000..2}")
 
 
 def test_guards(spark):
