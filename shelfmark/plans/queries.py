@@ -20,8 +20,9 @@ from shelfmark.operators.execution import execute
 from shelfmark.sinks import documents, rows
 from shelfmark.sources.inventory import excluded, hidden, listing, scan
 from shelfmark.sources.json_text import safe_parse
-from shelfmark.sinks.files import make_files, save_manifest, save_markdown
+from shelfmark.sinks.files import make_files, remove_files, save_manifest, save_markdown
 from shelfmark.sinks.lines import committed, read_lines
+from shelfmark.streaming import changes
 from shelfmark.tables import mounted, scratch, staged
 
 BASE = "/base"
@@ -343,6 +344,28 @@ def scan_skewed_tree(spark, sf_dir):
     return listing(spark, root, ("**/node_modules/**", "a/*/b/**")).where("is_file").select("rel_path", "size")
 
 
+@query("scan_changes", """WITH f AS (SELECT 'd' || p_partkey % 20 || '/' || p_partkey || '.txt' AS rel_path, p_partkey AS k FROM part)
+SELECT CAST(1 AS BIGINT) AS version, 'added' AS kind, 1 AS sign, rel_path, CAST(5 AS BIGINT) AS size FROM f WHERE k % 3 <> 0
+UNION ALL SELECT 2, 'added', 1, rel_path, 5 FROM f WHERE k % 3 = 0
+UNION ALL SELECT 2, 'gone', -1, rel_path, 5 FROM f WHERE k % 3 = 1 AND k % 5 = 0
+UNION ALL SELECT 2, 'changed', sign, rel_path, CASE sign WHEN 1 THEN 9 ELSE 5 END FROM f, (VALUES (1), (-1)) s(sign) WHERE k % 3 = 2 AND k % 7 = 0""")
+def scan_changes(spark, sf_dir):
+    """Two scans of a tree that changes in between, as signed rows of a stream."""
+    key = F.col("p_partkey")
+    path = F.concat(F.lit("d"), (key % 20).cast("string"), F.lit("/"), key.cast("string"), F.lit(".txt"))
+    files = table(spark, sf_dir, "part").select(path.alias("rel_path"), key.alias("k"), F.lit(5).cast("bigint").alias("size"))
+    state, root = scratch(spark, "watch"), tree(spark, files.where("k % 3 <> 0"), "changing")
+    watch = changes.Watch(spark, root, state)
+    watch.poll()
+    make_files(files.where("k % 3 = 0").unionByName(files.where("k % 3 = 2 AND k % 7 = 0").withColumn("size", F.lit(9).cast("bigint"))), root)
+    remove_files(files.where("k % 3 = 1 AND k % 5 = 0"), root)
+    watch.poll()
+    out = scratch(spark, "changes")
+    stream = changes.changes(spark, state).where("is_file").select("version", "kind", "sign", "rel_path", "size").writeStream.format("parquet")
+    stream.option("path", out).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("version bigint, kind string, sign int, rel_path string, size bigint").parquet(out)
+
+
 # --- planning, execution, counts --------------------------------------------------------------
 
 

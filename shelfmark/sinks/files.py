@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,16 +33,35 @@ def save_markdown(document: m.Manifest, path: str, title: str = m.TITLE) -> None
     save(m.markdown(document, title), path)
 
 
-def make_files(files: DataFrame, root: str) -> int:
-    """Write files of (rel_path, size) below a mounted folder, in the tasks that have the rows; their number."""
+def in_tasks(files: DataFrame, work: Callable[..., None]) -> int:
+    """Call ``work`` with the columns of each row, in the tasks that have the rows; the number of rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                full = os.path.join(root, path)
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(full, "wb") as f:
-                    f.truncate(size)
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                work(*row)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    return files.select("rel_path", "size").mapInArrow(run, "n bigint").groupBy().sum("n").first()[0] or 0
+    return files.mapInArrow(run, "n bigint").groupBy().sum("n").first()[0] or 0
+
+
+def make_files(files: DataFrame, root: str) -> int:
+    """Write files of (rel_path, size) below a mounted folder; their number."""
+
+    def make(path: str, size: int) -> None:
+        full = os.path.join(root, path)
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        with open(full, "wb") as f:
+            f.truncate(size)
+
+    return in_tasks(files.select("rel_path", "size"), make)
+
+
+def remove_files(files: DataFrame, root: str) -> int:
+    """Remove files (rel_path) below a mounted folder that are there; the number of rows."""
+
+    def remove(path: str) -> None:
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(os.path.join(root, path))
+
+    return in_tasks(files.select("rel_path"), remove)

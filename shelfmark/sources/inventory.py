@@ -36,10 +36,10 @@ SPREAD = 2
 #: Bytes of a folder's own size that are taken for one entry.
 ENTRY_BYTES = 512
 
-ENTRY = [("rel_path", pa.string()), ("size", pa.int64()), ("is_file", pa.bool_())]
+ENTRY = [("rel_path", pa.string()), ("size", pa.int64()), ("is_file", pa.bool_()), ("modified", pa.int64())]
 #: What a round gives: entries, and (work is not null) folders or packs of names for the next one.
 ROUND = [*ENTRY, ("task", pa.int64()), ("before", pa.int64()), ("work", pa.int64()), ("state", pa.list_(pa.string())), ("names", pa.list_(pa.string()))]
-SCHEMA = "rel_path string, size bigint, is_file boolean"
+SCHEMA = "rel_path string, size bigint, is_file boolean, modified bigint"
 ROUND_SCHEMA = f"{SCHEMA}, task bigint, before bigint, work bigint, state array<string>, names array<string>"
 
 
@@ -67,17 +67,17 @@ class Lister:
         try:
             link = os.path.islink(full)
             stat = os.stat(full)
-            is_file, size = os.path.isfile(full), stat.st_size
+            is_file, size, modified = os.path.isfile(full), stat.st_size, stat.st_mtime_ns
             if os.path.isdir(full) and not link and not self.pruner.barren(own, name):
                 self.stack.append((path, own, max(1, min(CUT, size // ENTRY_BYTES))))
         except OSError:  # a dangling link: present, but no file
-            is_file, size = False, 0
+            is_file, size, modified = False, 0, None
         if not excluded:
-            self.rows.append((path, size, is_file, None, None, None, None, None))
+            self.rows.append((path, size, is_file, modified, None, None, None, None, None))
 
     def later(self, rel: str, state: State, work: int, names: list[str] | None) -> None:
         """A folder or a pack for the next round."""
-        self.rows.append((rel, None, None, self.task, self.before, work, [format(x, "x") for x in state], names))
+        self.rows.append((rel, None, None, None, self.task, self.before, work, [format(x, "x") for x in state], names))
         self.before += work
 
     def list(self, rel: str, state: State) -> None:
@@ -134,8 +134,8 @@ def listed(frontier: DataFrame, root: str, pruner: Pruner, share: int) -> DataFr
     return frontier.select("rel_path", "state", "names").mapInArrow(run, ROUND_SCHEMA)
 
 
-def listing(spark: SparkSession, directory: str, exclude: Sequence[str] = (), include_hidden: bool = True) -> DataFrame:
-    """Staged entries below a directory that aren't excluded: rel_path, size, is_file."""
+def listing(spark: SparkSession, directory: str, exclude: Sequence[str] = (), include_hidden: bool = True, times: bool = False) -> DataFrame:
+    """Staged entries below a directory that aren't excluded: rel_path, size, is_file (and modified, in ns)."""
     root, pruner = mounted(directory), Pruner(exclude, not include_hidden)
     first = spark.createDataFrame([("", [format(x, "x") for x in pruner.start], None)], "rel_path string, state array<string>, names array<string>")
     paths, frontier, share = [], first.coalesce(1), SHARE
@@ -149,14 +149,13 @@ def listing(spark: SparkSession, directory: str, exclude: Sequence[str] = (), in
         if not total:
             break
         share = max(SHARE, -(-total // (cores * SPREAD)))
-        starts, before = {}, 0
+        starts, before = [], 0
         for r in sums:
-            starts[r["task"]] = before
+            starts.append((r["task"], before))
             before += r["work"]
-        tasks = -(-total // share)
-        offset = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("task")]
-        frontier = left.repartitionById(tasks, F.expr("CAST(0 AS INT)") if tasks == 1 else F.floor((offset + F.col("before")) / share).cast("int"))
-    return spark.read.schema(ROUND_SCHEMA).parquet(*paths).where("work IS NULL").select("rel_path", "size", "is_file")
+        placed = left.join(F.broadcast(spark.createDataFrame(starts, "task bigint, start bigint")), "task")  # a row per task
+        frontier = placed.repartitionById(-(-total // share), F.floor((F.col("start") + F.col("before")) / share).cast("int"))
+    return spark.read.schema(ROUND_SCHEMA).parquet(*paths).where("work IS NULL").select("rel_path", "size", "is_file", *["modified"] * times)
 
 
 def hidden(rel_path: Column) -> Column:
