@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import dirname
+from shelfmark.operators.existence import near_targets
 from shelfmark.tables import staged
 
 CONFLICT = "Target file already exists: "
@@ -22,7 +23,7 @@ BLOCKED = "Target directory is a file: "
 
 def with_target_exists(operations: DataFrame, present: DataFrame) -> DataFrame:
     """The existence probe: operations + ``target_exists``, whether a present path is their target."""
-    there = present.select(F.col("path").alias("new_path")).distinct().withColumn("__there", F.lit(True))
+    there = near_targets(present.select("path"), operations).select(F.col("path").alias("new_path")).distinct().withColumn("__there", F.lit(True))
     return operations.join(there, "new_path", "left").withColumn("target_exists", F.coalesce("__there", F.lit(False))).drop("__there")
 
 
@@ -44,7 +45,7 @@ def resolve_conflicts(operations: DataFrame, present: DataFrame, is_staged: bool
     # a source that stays where it is never leaves; it counts as present, not as leaving
     after = able.join(sources, "new_path", "left").where("k IS NULL OR scan_index > k")
     first = after.groupBy("new_path").agg(F.min(F.struct("scan_index", "k")).alias("f")).select("new_path", "f.scan_index", "f.k")
-    there = present.select(F.col("path").alias("new_path")).distinct().withColumn("__there", F.lit(True))
+    there = near_targets(present.select("path"), ops).select(F.col("path").alias("new_path")).distinct().withColumn("__there", F.lit(True))
     cand = staged(
         first.join(there, "new_path", "left").select(
             "scan_index", F.col("k").alias("dep"), (F.col("k").isNotNull() | F.col("__there").isNull()).alias("ok")

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.config import Config
-from shelfmark.operators import conflicts, execution, manifest, planning, summary
+from shelfmark.operators import conflicts, execution, existence, manifest, planning, summary
 from shelfmark.sinks.files import save_manifest, save_markdown
 from shelfmark.sources import inventory
+from shelfmark.tables import staged
 
 
 class Organizer:
@@ -25,10 +26,9 @@ class Organizer:
         return planning.plan_operations(files, self.config, self.base)
 
     def predict(self, operations: DataFrame) -> DataFrame:
-        """What execution would give, from the full listing as it is now."""
-        found = inventory.listing(self.spark, self.base)
-        present = found.select(F.concat(F.lit(self.base + "/"), "rel_path").alias("path"), "is_file")
-        return conflicts.resolve_conflicts(operations, present)
+        """What execution would give, from what is in the target folders now."""
+        operations = staged(operations, "operations")
+        return conflicts.resolve_conflicts(operations, existence.on_disk(operations), is_staged=True)
 
     def execute(self, operations: DataFrame) -> DataFrame:
         return execution.execute(operations, self.config.dry_run, logger=self.logger)

@@ -17,6 +17,7 @@ from shelfmark.functions import guards, naming, paths
 from shelfmark.operators import conflicts, logs, manifest, planning, summary
 from shelfmark.operators.classify import classify, classify_by_table, rule_table, with_names
 from shelfmark.operators.execution import execute
+from shelfmark.operators.existence import PathTable
 from shelfmark.sinks import documents, rows
 from shelfmark.sources.inventory import excluded, hidden, listing, scan
 from shelfmark.sources.json_text import safe_parse
@@ -315,7 +316,10 @@ def scan_tree(spark, sf_dir):
     return files.select("rel_path", "filename", "extension", "size", "category", "target_folder", "suggested_name", "needs_rename")
 
 
-@query("execute_tree", f"""WITH {_TREE}, moved AS (SELECT *, CASE WHEN category IS NULL THEN regexp_replace(rel_path, '/[^/]*$', '') ELSE category END || '/' || suggested_name AS new_path FROM scanned)
+_MOVED = f"""{_TREE}, moved AS (SELECT *, CASE WHEN category IS NULL THEN regexp_replace(rel_path, '/[^/]*$', '') ELSE category END || '/' || suggested_name AS new_path FROM scanned)"""
+
+
+@query("execute_tree", f"""WITH {_MOVED}
 SELECT rel_path AS source, new_path AS target, 'success' AS status, size FROM moved WHERE new_path <> rel_path""")
 def execute_tree(spark, sf_dir):
     """Scan, plan, rename the files, and list where they are now."""
@@ -326,22 +330,31 @@ def execute_tree(spark, sf_dir):
     return done.select(*below, "status").join(now, "target")
 
 
-def skewed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file per part: all of one size in one folder, others down a chain of folders, in many small ones, and in excluded ones at several depths."""
+@query("execute_failing", """WITH f AS (SELECT p_partkey AS k, 'in' || p_partkey % 5 || '/' || p_partkey || '.txt' AS source, 'out/' || p_partkey // 7 || '.txt' AS target FROM part),
+o AS (SELECT *, k % 11 = 0 AS missing, k // 7 % 13 = 0 AS taken FROM f),
+w AS (SELECT target, min(k) FILTER (NOT missing AND NOT taken) AS winner FROM o GROUP BY target)
+SELECT k AS scan_index, target, CASE WHEN k = winner THEN 'success' ELSE 'failed' END AS status,
+  CASE WHEN k = winner THEN 'none' WHEN missing AND NOT taken AND (winner IS NULL OR k < winner) THEN 'rename' ELSE 'conflict' END AS cause FROM o JOIN w USING (target)""")
+def execute_failing(spark, sf_dir):
+    """Renames in tasks of which some fail: sources that are gone, targets that are taken; others get their turn."""
     key = F.col("p_partkey")
-    chain = F.array_join(F.transform(F.sequence(F.lit(0), (key % 40).cast("int")), lambda i: F.concat(F.lit("c"), i.cast("string"))), "/")
-    folder = F.when(key % 2 == 0, "big").when(key % 8 == 1, chain).when(key % 8 == 3, F.concat(F.lit("w"), key.cast("string"), F.lit("/node_modules/sub"))).when(
-        key % 8 == 5, F.concat(F.lit("a/"), (key % 9).cast("string"), F.lit("/b/below"))).otherwise(F.concat(F.lit("w"), key.cast("string")))
-    return table(spark, sf_dir, "part").select(F.concat(folder, F.lit("/"), key.cast("string"), F.lit(".txt")).alias("rel_path"), (key % 10).cast("bigint").alias("size"))
-
-
-@query("scan_skewed_tree", """SELECT folder || '/' || p_partkey || '.txt' AS rel_path, CAST(p_partkey % 10 AS BIGINT) AS size FROM (SELECT p_partkey,
-  CASE WHEN p_partkey % 2 = 0 THEN 'big' WHEN p_partkey % 8 = 1 THEN array_to_string(list_transform(range(p_partkey % 40 + 1), lambda i: 'c' || i), '/') ELSE 'w' || p_partkey END AS folder
-  FROM part WHERE p_partkey % 8 NOT IN (3, 5))""")
-def scan_skewed_tree(spark, sf_dir):
-    """Listing by rounds; excluded folders are not entered."""
-    root = tree(spark, skewed_files(spark, sf_dir), "skewed")
-    return listing(spark, root, ("**/node_modules/**", "a/*/b/**")).where("is_file").select("rel_path", "size")
+    source = F.concat(F.lit("in"), (key % 5).cast("string"), F.lit("/"), key.cast("string"), F.lit(".txt"))
+    target = F.concat(F.lit("out/"), F.expr("p_partkey div 7").cast("string"), F.lit(".txt"))
+    plan = staged(table(spark, sf_dir, "part").select(key.alias("scan_index"), source.alias("source"), target.alias("target")), "moves")
+    taken = plan.where("scan_index div 7 % 13 = 0").select(F.col("target").alias("rel_path")).distinct()
+    files = plan.where("scan_index % 11 <> 0").select(F.col("source").alias("rel_path")).unionByName(taken)
+    root = tree(spark, files.withColumn("size", F.lit(1).cast("bigint")), "failing")
+    ops = plan.select("scan_index", F.lit("move").alias("type"), *[F.concat(F.lit(root + "/"), c).alias(n) for c, n in (("source", "original_path"), ("target", "new_path"))], F.lit("").alias("reason"))
+    cause = F.when(F.col("error").isNull(), "none").when(F.startswith("error", F.lit(conflicts.CONFLICT)), "conflict").otherwise("rename")
+    return execute(ops).select("scan_index", F.substring("new_path", len(root) + 2, 1 << 20).alias("target"), "status", cause.alias("cause"))
+
+
+@query("existence_table", f"WITH {ops_sql()}, {PRESENT} SELECT scan_index, new_path IN (SELECT path FROM present) AS target_exists FROM ops")
+def existence_table(spark, sf_dir):
+    """The probe against a stored path table, of which target folders are read."""
+    ops, there = planned(spark, sf_dir)
+    near = PathTable(spark, scratch(spark, "paths")).write(there).near(ops)
+    return conflicts.with_target_exists(ops, near).select("scan_index", "target_exists")
 
 
 @query("scan_changes", """WITH f AS (SELECT 'd' || p_partkey % 20 || '/' || p_partkey || '.txt' AS rel_path, p_partkey AS k FROM part)
