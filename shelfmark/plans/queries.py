@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.config import CAMEL, KEBAB, PASCAL, SNAKE, Config, NamingConvention, Rule
@@ -24,6 +24,7 @@ from shelfmark.sources.json_text import safe_parse
 from shelfmark.sinks.files import make_files, remove_files, save_manifest, save_markdown
 from shelfmark.sinks.lines import committed, read_lines
 from shelfmark.streaming import changes
+from shelfmark.streaming.conflicts import ConflictStream
 from shelfmark.tables import mounted, scratch, staged
 
 BASE = "/base"
@@ -433,32 +434,55 @@ def collected_errors(spark, sf_dir):
     return summary.errors(results(spark, sf_dir))
 
 
-# (case, index, source, target); paths on disk besides the sources
+# (case, index, source, target); paths on disk besides the sources.  Each part is one of the cases, or a link of a chain of 40.
 CHAINS = (
     (1, 0, "x/A", "d/a"), (1, 1, "y/A", "d/a"), (2, 0, "x/A", "d/a"), (3, 0, "p", "q"), (3, 1, "r", "p"), (4, 0, "r", "p"), (4, 1, "p", "q"),
     (5, 0, "p", "q"), (5, 1, "r", "p"), (6, 0, "r", "p"), (6, 1, "p", "q"), (6, 2, "s", "p"),
 )
 TAKEN = ((2, "d/a"), (5, "q"))
-
-
-def _chained() -> tuple[list, list]:
-    """The crafted cases, and a chain of 40 in which each target is the source before it."""
-    ops = [(c * 100 + i, "move", f"/b{c}/{s}", f"/b{c}/{t}", "r") for c, i, s, t in CHAINS]
-    ops += [(1000 + i, "rename", f"/c/{i}", f"/c/{i - 1}", "r") for i in range(40)]
-    return ops, [(o[2],) for o in ops] + [(f"/b{c}/{t}",) for c, t in TAKEN]
-
-
-_OPS, _THERE = _chained()
-_VALUES = ", ".join(str(o) for o in _OPS)
-_PATHS = ", ".join(f"('{p}')" for (p,) in _THERE)
-
-
-@query("resolve_conflicts_chained", f"""WITH RECURSIVE ops(scan_index, type, original_path, new_path, reason) AS (SELECT CAST(a AS BIGINT), b, c, d, e FROM (VALUES {_VALUES}) v(a, b, c, d, e)),
-present(path) AS (VALUES {_PATHS}), {RESOLVE} SELECT scan_index, new_path, status, error FROM results""")
+_CASES = ", ".join(map(str, CHAINS))
+_LINK = "CAST(p_partkey // 280 AS VARCHAR) || '/' || CAST(p_partkey // 7 % 40 {} AS VARCHAR)"
+_CHAINED = f"""ops AS (SELECT p_partkey * 10 + i AS scan_index, 'move' AS type, '/b' || p_partkey || '/' || s AS original_path, '/b' || p_partkey || '/' || t AS new_path, 'r' AS reason
+  FROM part JOIN (VALUES {_CASES}) v(c, i, s, t) ON p_partkey % 7 = c
+  UNION ALL SELECT p_partkey * 10, 'rename', '/c' || {_LINK.format("")}, '/c' || {_LINK.format("- 1")}, 'r' FROM part WHERE p_partkey % 7 = 0),
+present AS (SELECT original_path AS path FROM ops UNION ALL SELECT '/b' || p_partkey || '/' || t FROM part JOIN (VALUES {", ".join(map(str, TAKEN))}) v(c, t) ON p_partkey % 7 = c)"""
+
+
+def chained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Operations that wait for each other, and the paths at the start."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    cases = F.broadcast(spark.createDataFrame(CHAINS, "c int, i int, s string, t string"))
+    taken = F.broadcast(spark.createDataFrame(TAKEN, "c int, t string"))
+
+    def path(prefix: str, *cols: Column) -> Column:
+        return F.concat(F.lit(prefix), *[c.cast("string") for c in cols])
+
+    at = [path("/b", F.col("k"), F.lit("/"), F.col(c)) for c in ("s", "t")]
+    own = part.join(cases, F.col("k") % 7 == F.col("c")).select((F.col("k") * 10 + F.col("i")).alias("scan_index"), F.lit("move").alias("type"), at[0].alias("original_path"), at[1].alias("new_path"), F.lit("r").alias("reason"))
+    link = F.expr("k div 7 % 40")
+    links = [path("/c", F.expr("k div 280"), F.lit("/"), x) for x in (link, link - 1)]
+    rest = part.where("k % 7 = 0").select((F.col("k") * 10).alias("scan_index"), F.lit("rename").alias("type"), links[0].alias("original_path"), links[1].alias("new_path"), F.lit("r").alias("reason"))
+    ops = staged(own.unionByName(rest), "chained")
+    there = part.join(taken, F.col("k") % 7 == F.col("c")).select(at[1].alias("path"))
+    return ops, ops.select(F.col("original_path").alias("path")).unionByName(there)
+
+
+@query("resolve_conflicts_chained", f"WITH RECURSIVE {_CHAINED}, {RESOLVE} SELECT scan_index, new_path, status, error FROM results")
 def resolve_conflicts_chained(spark, sf_dir):
-    ops = spark.createDataFrame(_OPS, "scan_index bigint, type string, original_path string, new_path string, reason string")
-    there = spark.createDataFrame(_THERE, "path string")
-    return conflicts.resolve_conflicts(ops, there).select("scan_index", "new_path", "status", "error")
+    return conflicts.resolve_conflicts(*chained(spark, sf_dir), is_staged=True).select("scan_index", "new_path", "status", "error")
+
+
+@query("resolve_conflicts_stream", f"WITH RECURSIVE {_CHAINED}, {RESOLVE} SELECT scan_index, new_path, status, error FROM results WHERE type = 'move'")
+def resolve_conflicts_stream(spark, sf_dir):
+    """The operations (but for the long chains) in three batches, the last ones first."""
+    ops, there = chained(spark, sf_dir)
+    ops, path = ops.where("type = 'move'").select("scan_index", "original_path", "new_path"), scratch(spark, "ops")
+    stream = ConflictStream(spark, scratch(spark, "stream"))
+    stream.begin(there)
+    for rest in (2, 1, 0):
+        ops.where(F.col("scan_index") % 3 == rest).write.mode("append").parquet(path)
+        stream.drain(spark.readStream.schema(ops.schema).parquet(path))
+    return stream.outcomes()
 
 
 # --- manifest, logs, text ---------------------------------------------------------------------
