@@ -5,7 +5,13 @@ import os
 import random
 import shutil
 
-from shelfmark.streaming import changes
+import pytest
+from pyspark.sql import functions as F
+
+from shelfmark import config as c
+from shelfmark.operators import planning, summary
+from shelfmark.sources import inventory
+from shelfmark.streaming import changes, counts
 
 
 def scanned(root):
@@ -80,3 +86,27 @@ def test_nothing_changed(spark, tmp_path):
     assert watch.poll() == 3 and changes.versions(str(tmp_path / "state")) == [1, 2, 3]
     rows = [spark.read.parquet(watch.path("changes", v)).select("kind", "rel_path").collect() for v in (1, 2, 3)]
     assert rows == [[("added", "x")], [], [("gone", "x")]]
+
+
+@pytest.mark.parametrize("top", [2, 1000])
+def test_counts_equal_a_recount(spark, tmp_path, monkeypatch, top):
+    """Categories, their first paths and operation types after each of four polls."""
+    monkeypatch.setattr(counts, "TOP", top)
+    rng, root, config = random.Random(4), str(tmp_path / "tree"), c.Config()
+    os.makedirs(f"{root}/a")
+    watch, running = changes.Watch(spark, root, str(tmp_path / "state")), counts.Counts(spark, str(tmp_path / "counts"))
+    for step in range(4):
+        if step == 3:
+            shutil.rmtree(f"{root}/a", ignore_errors=True)  # many first paths at once
+        else:
+            mutate(root, rng)
+        watch.poll()
+        signed = changes.changes(spark, str(tmp_path / "state")).where("is_file").select("rel_path", "sign")
+        running.drain(counts.labelled(signed, config, root))
+        files = inventory.scan(spark, root, config)
+        first = files.groupBy(summary.category_label(F.col("category")).alias("label")).agg(F.min("rel_path").alias("first"))
+        expected = {("category", r.category, r.n) for r in summary.category_summary(files).collect()}
+        expected |= {("operation", r.type, r.n) for r in summary.operation_type_counts(planning.plan_operations(files, config, root)).collect()}
+        got = running.current().collect()
+        assert {(r.kind, r.label, r.n) for r in got} == expected
+        assert {r.label: r["first"] for r in got if r.kind == "category"} == {r.label: r["first"] for r in first.collect()}
