@@ -20,7 +20,8 @@ from shelfmark.operators.execution import execute
 from shelfmark.operators.existence import PathTable
 from shelfmark.sinks import documents, rows
 from shelfmark.sources.inventory import excluded, hidden, listing, scan
-from shelfmark.sources.json_text import safe_parse
+from shelfmark.sources import json_stream
+from shelfmark.sources.json_text import safe_parse, safe_parsed
 from shelfmark.sinks.files import make_files, remove_files, save_manifest, save_markdown
 from shelfmark.sinks.lines import committed, read_lines
 from shelfmark.streaming import changes
@@ -656,6 +657,27 @@ def json_safe_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", safe_parse(text).isNotNull().alias("parsed"))
 
 
+@query("json_files", """SELECT place, chunk AS pointer, kind, value FROM (SELECT event_id - (SELECT min(event_id) FROM events) AS place, '/' || (event_id - (SELECT min(event_id) FROM events)) || '/' || k AS chunk,
+  CASE k WHEN 'event_id' THEN 'number' ELSE 'string' END AS kind, CASE k WHEN 'event_id' THEN CAST(event_id AS VARCHAR) ELSE props END AS value FROM events, (VALUES ('event_id'), ('props')) v(k))
+UNION ALL SELECT NULL, NULL, 'error', 'a comma or ] was expected'""")
+def json_files(spark, sf_dir):
+    """All events as one large JSON file, read back as rows of pointers; and one that breaks off."""
+    path, events = scratch(spark, "json"), table(spark, sf_dir, "events").select("event_id", "props")
+    documents.save(rows.json_array(events, ("event_id",)), f"{path}/all.json")
+    documents.save(documents.Document(events.limit(1).select("event_id", F.lit("1").alias("block")), ("event_id",), "[", "", " 2]"), f"{path}/broken.json")
+    files = spark.createDataFrame([(f"{path}/all.json",), (f"{path}/broken.json",)], "file string")
+    found = json_stream.read_json(spark, files.repartition(2)).where("kind <> 'error' OR offset = 3").where("NOT (file LIKE '%broken.json' AND kind = 'number')")
+    return found.select(F.split_part("pointer", F.lit("/"), F.lit(2)).cast("bigint").alias("place"), "pointer", "kind", "value")
+
+
+@query("json_parse_log", """SELECT event_id, 'warn' AS level, 'Failed to parse JSON string' AS message, '{bad' AS details FROM events WHERE event_id % 10 = 0""")
+def json_parse_log(spark, sf_dir):
+    """What a safe parse logs."""
+    text = F.when(F.col("event_id") % 10 == 0, "{bad").otherwise(F.col("props"))
+    _, log = safe_parsed(table(spark, sf_dir, "events").select("event_id", text.alias("text")), "text", "event_id")
+    return log
+
+
 _VALUES_BY = "CASE event_id % 7 WHEN 0 THEN '{\"a\":1}' WHEN 1 THEN '\"x\"' WHEN 2 THEN '1.5' WHEN 3 THEN '7' WHEN 4 THEN 'true' WHEN 5 THEN '[1,\"a\"]' ELSE 'null' END"
 
 

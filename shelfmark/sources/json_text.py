@@ -25,6 +25,13 @@ def read_json_files(spark: SparkSession, path: str) -> DataFrame:
     return read_texts(spark, path).select("path", safe_parse(F.col("value")).alias("data"))
 
 
+def safe_parsed(rows: DataFrame, column: str, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``data``, the log of what isn't JSON, with columns to keep); null texts are not logged."""
+    done = rows.withColumn("data", safe_parse(F.col(column)))
+    bad = done.where(F.col("data").isNull() & F.col(column).isNotNull())
+    return done, bad.select(*keep, F.lit("warn").alias("level"), F.lit("Failed to parse JSON string").alias("message"), F.left(F.col(column), F.lit(200)).alias("details"))
+
+
 def parse_json(text: str, logger=None) -> Any | None:
     try:
         return json.loads(text)
