@@ -37,6 +37,9 @@ def session():
     )
 
 
+# The texts that the commands below print and log.
+
+
 def init(kind: str) -> int:
     path = os.path.join(os.getcwd(), c.config_filename(c.validate_format(kind)))
     if os.path.exists(path):

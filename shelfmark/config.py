@@ -35,17 +35,17 @@ class NamingConvention:
 
 
 # The default rules, in their order.
-_DEFAULT_EXTENSIONS = {
-    "images": ".jpg .jpeg .png .gif .svg .webp .ico",
-    "documents": ".pdf .doc .docx .txt .md .odt .rtf",
-    "videos": ".mp4 .avi .mkv .mov .wmv .flv .webm",
-    "audio": ".mp3 .wav .flac .aac .ogg .wma .m4a",
-    "archives": ".zip .tar .gz .rar .7z .bz2 .xz",
-    "code": ".js .ts .py .java .cpp .c .h .cs .go .rs .php .rb",
-    "spreadsheets": ".xlsx .xls .csv .ods",
-    "presentations": ".ppt .pptx .odp .key",
-}
-DEFAULT_RULES = tuple(Rule(name, tuple(exts.split()), None, name) for name, exts in _DEFAULT_EXTENSIONS.items())
+DEFAULT_RULES = (
+    Rule("images", (".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".ico"), None, "images"),
+    Rule("documents", (".pdf", ".doc", ".docx", ".txt", ".md", ".odt", ".rtf"), None, "documents"),
+    Rule("videos", (".mp4", ".avi", ".mkv", ".mov", ".wmv", ".flv", ".webm"), None, "videos"),
+    Rule("audio", (".mp3", ".wav", ".flac", ".aac", ".ogg", ".wma", ".m4a"), None, "audio"),
+    Rule("archives", (".zip", ".tar", ".gz", ".rar", ".7z", ".bz2", ".xz"), None, "archives"),
+    Rule("code", (".js", ".ts", ".py", ".java", ".cpp", ".c", ".h", ".cs", ".go", ".rs", ".php", ".rb"), None, "code"),
+    Rule("spreadsheets", (".xlsx", ".xls", ".csv", ".ods"), None, "spreadsheets"),
+    Rule("presentations", (".ppt", ".pptx", ".odp", ".key"), None, "presentations"),
+)
+# What is excluded by default.
 DEFAULT_EXCLUDES = ("node_modules/**", ".git/**", "dist/**", "build/**", ".DS_Store")
 
 
