@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import col, scratch, spread_join, staged
+from shelfmark.llm.common import col, members_bitmap, scratch, spread_join, staged, with_maybe
 
 END = "\r\n\r\n"
 CHUNK_BYTES = 1 << 16
@@ -53,12 +53,25 @@ def base32_of_hex(sha1: Column) -> Column:
 
 
 def roles(pages: DataFrame) -> DataFrame:
-    """Pages (page_id, url, payload) with digests, record type and the page they refer to."""
+    """Pages (page_id, url, payload) with digests, record type and the page they refer to.
+
+    Payloads stay where they are, but for those that may be a group's response: two bitmaps tell what surely
+    has no equal, and what surely is not the first of its equals.  The latter move without their payload.
+    """
     digested = pages.withColumn(
         "key", F.struct(F.length("payload").alias("n"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256"))
     )
     groups = staged(digested.groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("size")), "payloads")
-    met = spread_join(digested, groups.where("size > 1"), "key", "size", "left")
+    several = groups.where("size > 1")
+    flagged = with_maybe(digested, members_bitmap(several, "key"), "key", flag="__several")
+    firsts = members_bitmap(groups.select("key", F.col("first").alias("page_id")), "key", "page_id")
+    flagged = with_maybe(flagged, firsts, "key", "page_id", flag="__first")
+    alone = flagged.where("not __several").withColumn("first", F.lit(None).cast(pages.schema["page_id"].dataType))
+    leading = spread_join(flagged.where("__several and __first").drop("__several", "__first"), several, "key", "size", "left")
+    behind = flagged.where("__several and not __first").select("page_id", "url", "key")  # revisits
+    behind = spread_join(behind, several, "key", "size", "left").withColumn("payload", F.lit(None).cast("binary"))
+    columns = ["page_id", "url", "payload", "key", "first"]
+    met = alone.select(*columns).unionByName(leading.select(*columns)).unionByName(behind.select(*columns))
     again = F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull())
     return met.select(
         "page_id", "url", "payload", F.col("key.n").alias("n"), F.col("key.sha1").alias("sha1"),
