@@ -14,6 +14,7 @@ automaton over path segments (``functions.pruning``) travels with each folder.
 from __future__ import annotations
 
 import os
+import stat
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -43,6 +44,13 @@ SCHEMA = "rel_path string, size bigint, is_file boolean, modified bigint"
 ROUND_SCHEMA = f"{SCHEMA}, task bigint, before bigint, work bigint, state array<string>, names array<string>"
 
 
+def is_folder(path: str, entry: os.DirEntry | None) -> bool:
+    """Whether a path is a folder and no link to one; mostly known without asking the file system."""
+    if entry is not None:
+        return entry.is_dir(follow_symlinks=False)
+    return os.path.isdir(path) and not os.path.islink(path)
+
+
 class Lister:
     """What one task of a round does."""
 
@@ -55,20 +63,21 @@ class Lister:
     def path(self, rel: str, name: str) -> str:
         return f"{rel}/{name}" if rel else name
 
-    def describe(self, rel: str, name: str, state: State) -> None:
+    def describe(self, rel: str, name: str, state: State, entry: os.DirEntry | None = None) -> None:
         """An entry's row; a folder that has to be entered goes on the stack."""
         own = self.pruner.step(state, name)
         path = self.path(rel, name)
         full = os.path.join(self.root, path)
-        excluded = self.pruner.excludes(own, name)
-        if excluded and (self.pruner.barren(own, name) or not os.path.isdir(full) or os.path.islink(full)):
+        excluded, barren = self.pruner.excludes(own, name), self.pruner.barren(own, name)
+        if excluded and (barren or not is_folder(full, entry)):
             return
         self.done += 1
         try:
-            link = os.path.islink(full)
-            stat = os.stat(full)
-            is_file, size, modified = os.path.isfile(full), stat.st_size, stat.st_mtime_ns
-            if os.path.isdir(full) and not link and not self.pruner.barren(own, name):
+            found = os.lstat(full)
+            link = stat.S_ISLNK(found.st_mode)
+            found = os.stat(full) if link else found
+            is_file, size, modified = stat.S_ISREG(found.st_mode), found.st_size, found.st_mtime_ns
+            if stat.S_ISDIR(found.st_mode) and not link and not barren:
                 self.stack.append((path, own, max(1, min(CUT, size // ENTRY_BYTES))))
         except OSError:  # a dangling link: present, but no file
             is_file, size, modified = False, 0, None
@@ -88,7 +97,7 @@ class Lister:
                 for entry in found:
                     seen += 1
                     if seen <= CUT:
-                        self.describe(rel, entry.name, state)
+                        self.describe(rel, entry.name, state, entry)
                         continue
                     pack.append(entry.name)
                     if len(pack) == PACK:

@@ -10,7 +10,7 @@ import __spark_entry__
 from shelfmark.plans import queries
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-SIZES = ("/root/testdata/sf0.001", "/root/testdata/sf0.01")
+SIZES = ("/root/testdata/sf0.01",)
 TABLES = ("part", "orders", "events", "pages", "nation")
 
 

@@ -69,9 +69,9 @@ def test_pruned_folders_are_not_opened(tmp_path, monkeypatch, patterns, never):
     for path in ("a/1/b/deep/er", "a/2/b", "src/node_modules/x", "src/lib" if never != "lib" else "src/y", "lib/z"):
         os.makedirs(tmp_path / path)
         (tmp_path / path / "f.txt").write_text("x")
-    opened, described, scandir, stat = [], [], os.scandir, os.stat
+    opened, described, scandir, lstat = [], [], os.scandir, os.lstat
     monkeypatch.setattr(inventory.os, "scandir", lambda p: opened.append(os.path.relpath(p, tmp_path)) or scandir(p))
-    monkeypatch.setattr(inventory.os, "stat", lambda p, *a, **k: described.append(os.path.relpath(p, tmp_path)) or stat(p, *a, **k))
+    monkeypatch.setattr(inventory.os, "lstat", lambda p, *a, **k: described.append(os.path.relpath(p, tmp_path)) or lstat(p, *a, **k))
     lister = inventory.Lister(str(tmp_path), Pruner(patterns), 0, 1 << 30)
     rows = [p for batch in lister.run([("", lister.pruner.start, None)]) for p in batch.column(0).to_pylist()]
     monkeypatch.undo()
