@@ -58,12 +58,12 @@ class Lines:
     def commit_as(self, messages: list[Written | None], number: int) -> None:
         files, root = opened(self.path)
         done = sorted((m for m in messages if m), key=lambda m: m.partition)
-        log, before = f"{root}/{COMMITS}", commits(self.path)
+        log, before = f"{root}/{COMMITS}", numbers(files, root)
         if number in before:  # a replayed batch
             self.drop(done)
             return
         names = [m.name for m in done if m.lines]
-        if names and self.header is not None and (self.overwrite or not any(before.values())):
+        if names and self.header is not None and (self.overwrite or not any(noted(files, root, n)[0] for n in before)):
             head = f"head-{uuid.uuid4().hex}.{self.suffix}"
             with files.open_output_stream(f"{root}/{head}") as out:
                 out.write(f"{self.header}\n".encode())
@@ -75,8 +75,9 @@ class Lines:
         self.drop([m for m in done if not m.lines])
         if self.overwrite:  # what the new commit replaces
             for old in before:
+                replaced, _ = noted(files, root, old)
                 files.delete_file(f"{log}/{old:012d}.json")
-            self.drop([Written(0, name, 0) for names in before.values() for name in names])
+                self.drop([Written(0, name, 0) for name in replaced])
 
     def drop(self, messages: list[Written | None]) -> None:
         files, root = opened(self.path)
@@ -87,7 +88,7 @@ class Lines:
 
 class BatchWriter(Lines, DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
-        self.commit_as(messages, max(commits(self.path, False), default=-1) + 1)
+        self.commit_as(messages, max(numbers(*opened(self.path)), default=-1) + 1)
 
     def abort(self, messages: list[Written | None]) -> None:
         self.drop(messages)
@@ -116,23 +117,28 @@ class LinesSource(DataSource):
         return StreamWriter(dict(self.options))
 
 
-def commits(path: str, current: bool = True) -> dict[int, list[str]]:
-    """The files of each commit, by its number; ``current``: only from the last overwriting one on."""
-    files, root = opened(path)
+def numbers(files: fs.FileSystem, root: str) -> list[int]:
+    """The commits, in order."""
     found = files.get_file_info(fs.FileSelector(f"{root}/{COMMITS}", allow_not_found=True))
-    out: dict[int, list[str]] = {}
-    for info in sorted((f for f in found if f.base_name.endswith(".json")), key=lambda f: f.base_name):
-        with files.open_input_stream(info.path) as f:
-            data = json.loads(f.read())
-        if data["fresh"] and current:
-            out.clear()
-        out[int(info.base_name.removesuffix(".json"))] = data["files"]
-    return out
+    return sorted(int(f.base_name.removesuffix(".json")) for f in found if f.base_name.endswith(".json"))
+
+
+def noted(files: fs.FileSystem, root: str, number: int) -> tuple[list[str], bool]:
+    """The files of a commit, and whether it replaces those before."""
+    with files.open_input_stream(f"{root}/{COMMITS}/{number:012d}.json") as f:
+        data = json.loads(f.read())
+    return data["files"], data["fresh"]
 
 
 def committed(path: str) -> list[str]:
     """The files that count, in order; their concatenation is the whole text."""
-    return [f"{path.rstrip('/')}/{name}" for names in commits(path).values() for name in names]
+    files, root = opened(path)
+    out: list[str] = []
+    for n in numbers(files, root):
+        names, fresh = noted(files, root, n)
+        out = [] if fresh else out
+        out += [f"{path.rstrip('/')}/{name}" for name in names]
+    return out
 
 
 def write_lines(lines: DataFrame, path: str, header: str | None = None, suffix: str = "txt", mode: str = "append") -> None:
