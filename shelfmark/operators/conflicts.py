@@ -32,6 +32,7 @@ def resolve_conflicts(operations: DataFrame, present: DataFrame, is_staged: bool
 
     present: all paths at the start (``path``, optionally ``is_file``), hidden and excluded ones
     and directories too.  Without ``is_file``, no path counts as a file in a directory's place.
+    Paths that are no targets only cost their reading; ``existence`` leaves them out.
     Operations are read several times, so they are staged unless they are already.
     """
     ops = operations = operations if is_staged else staged(operations, "operations")
@@ -45,7 +46,7 @@ def resolve_conflicts(operations: DataFrame, present: DataFrame, is_staged: bool
     # a source that stays where it is never leaves; it counts as present, not as leaving
     after = able.join(sources, "new_path", "left").where("k IS NULL OR scan_index > k")
     first = after.groupBy("new_path").agg(F.min(F.struct("scan_index", "k")).alias("f")).select("new_path", "f.scan_index", "f.k")
-    there = near_targets(present.select("path"), ops).select(F.col("path").alias("new_path")).distinct().withColumn("__there", F.lit(True))
+    there = present.select(F.col("path").alias("new_path")).distinct().withColumn("__there", F.lit(True))
     cand = staged(
         first.join(there, "new_path", "left").select(
             "scan_index", F.col("k").alias("dep"), (F.col("k").isNotNull() | F.col("__there").isNull()).alias("ok")

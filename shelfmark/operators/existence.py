@@ -30,14 +30,13 @@ def folders_of(operations: DataFrame) -> DataFrame:
 
 def near_targets(present: DataFrame, operations: DataFrame, folder: Column | None = None) -> DataFrame:
     """The rows of ``present`` (path, ...) in a folder that is a target's; ``folder``: theirs, if a column has it."""
-    folders = folders_of(operations)
-    some = folders.limit(BROADCAST + 1)
-    n = some.count()
-    own = dirname(F.col("path")) if folder is None else folder
-    if n <= FILTERED:
-        return present.where(own.isin([r["folder"] for r in some.collect()]) if n else F.lit(False))
+    folders, own = folders_of(operations), dirname(F.col("path")) if folder is None else folder
+    some = [r["folder"] for r in folders.limit(FILTERED + 1).collect()]
+    if len(some) <= FILTERED:
+        return present.where(own.isin(some) if some else F.lit(False))
+    few = folders.limit(BROADCAST + 1).count() <= BROADCAST
     wanted = folders.select(F.col("folder").alias("__folder"))
-    return present.join(F.broadcast(wanted) if n <= BROADCAST else wanted, own == F.col("__folder"), "left_semi")
+    return present.join(F.broadcast(wanted) if few else wanted, own == F.col("__folder"), "left_semi")
 
 
 class PathTable:
