@@ -34,7 +34,7 @@ def rows_of(spark, name, expected):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rel, df = con.sql(registry.oracle_sql()[name]), registry.queries()[name](spark, SF)
     cols = sorted(df.columns)
