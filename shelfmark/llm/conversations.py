@@ -154,7 +154,9 @@ def arrow_schema(ddl: str) -> pa.Schema:
 def faulty(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Staged turns (conv_id, turn, role, text, rid, key), and the same without text but with ``initial`` and
     ``fault`` (null, blank, duplicate or truncated)."""
-    digest = F.sha2(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.col("conv_id").isNull().cast("string"), F.length("role").cast("string"), "role", "text"), 256)
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
+    sizes = [F.coalesce(F.length(F.col("conv_id").cast("string")), F.lit(-1)).cast("string"), F.length("role").cast("string")]
+    digest = F.sha2(F.concat_ws(":", *sizes, conv, "role", "text"), 256)
     trimmed = F.rtrim("text", F.lit(SPACE))
     own = F.when(trimmed == "", "blank").when(~F.substring(trimmed, -1, 1).isin(".", "!", "?"), "truncated")
     rows = staged(turns.select(
@@ -392,9 +394,10 @@ WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce
 d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
     CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM t WHERE kind <> 0),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role,
-    sha256(coalesce(CAST(conv_id AS VARCHAR), '-') || ':' || (conv_id IS NULL) || ':' || length(role) || ':' || role || ':' || text), copy) AS i FROM d),
+    sha256(coalesce(length(CAST(conv_id AS VARCHAR)), -1) || ':' || length(role) || ':' || coalesce(CAST(conv_id AS VARCHAR), '') || ':' || role || ':' || text), copy) AS i FROM d),
 seen AS (SELECT *, left(role, 1) AS initial, rtrim(text, E' 	
-') AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM placed),
+
+') AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM placed),
 marked AS (SELECT *, bare = '' OR nth > 1 AS goes, CAST(bare <> '' AND nth = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS INT) AS cut,
     lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM seen),
 counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (bare = '') AS blank,

@@ -52,7 +52,8 @@ def cheapest(rows):
 
 def digest(conv, role, text):
     """What orders rows of one turn and role."""
-    return hashlib.sha256(f"{'-' if conv is None else conv}:{str(conv is None).lower()}:{len(role)}:{role}:{text}".encode()).digest()
+    size, name = (-1, "") if conv is None else (len(str(conv)), conv)
+    return hashlib.sha256(f"{size}:{len(role)}:{name}:{role}:{text}".encode()).digest()
 
 
 def brute(rows):
