@@ -481,8 +481,8 @@ def resolve_conflicts_stream(spark, sf_dir):
     stream = ConflictStream(spark, scratch(spark, "stream"))
     stream.begin(there)
     for rest in (2, 1, 0):
-        ops.where(F.col("scan_index") % 3 == rest).write.mode("append").parquet(path)
-        stream.drain(spark.readStream.schema(ops.schema).parquet(path))
+        ops.where(F.col("scan_index") % 3 == rest).coalesce(1).write.mode("append").parquet(path)
+    stream.drain(spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(path))
     return stream.outcomes()
 
 
