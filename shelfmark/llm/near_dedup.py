@@ -8,13 +8,14 @@ arrival is later than all registers.  Two registers agree with the probability J
 similarity.  Bands of five registers propose candidates - a pair at 0.8 is missed with a
 probability below 1e-4 - and pairs are verified with the exact similarity of the whole texts.
 
-Texts with the same words are one vertex.  Buckets connect vertices to groups; a group of bounded
-size is verified in one task, which skips pairs that are in one component already or that the
-distance to the group's most connected member rules out (1 - similarity is a metric).  Groups
-above the bound go bucket by bucket: a round compares a bucket's members with a few pivots, links
-merge components, and later rounds compare only members of different components with the next
-pivots, until no two members of a bucket are untested and in different components.  Either way
-the classes are those of testing all candidate pairs.
+Texts with the same words are one vertex.  Buckets connect vertices to groups.  A group of bounded
+size is verified in one task; the members of a larger one are dealt over blocks, and each pair of
+blocks meets in one task.  There the mass that each pair has in common is summed up for all pairs at
+once; it bounds their similarity from above (and is it for shingles that occur once), so only pairs
+that can be near are verified one by one, unless they are in one component already.  A group of n
+copies of one page that differ too much from each other has n * n candidates and hardly a link: these
+cost a few multiplications each, and no row of their own.  The classes are those of testing all
+candidate pairs.
 
 Defined cases: a null text is empty; texts without words are near-duplicates only if identical;
 a null identifier is smaller than any other; repeated rows are copies; a class's representative
@@ -30,11 +31,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.batches import portions, staged_in_small_batches
 from shelfmark.llm.common import col, located, members_bitmap, spread_join, staged, with_maybe, without
+from shelfmark.llm.suffix_array import ragged
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -44,11 +46,12 @@ REGISTERS = BANDS * ROWS
 CACHE = 100_000
 #: Texts are hashed together up to this many bytes, which bounds the memory of a worker.
 TOGETHER = 1_000_000
-#: Pivots that a bucket compares its members with, by round (the last number repeats).
-PIVOTS = (1, 8, 64)
-#: Groups of candidates up to this size are verified within one task; larger ones by rounds.
+#: Groups of candidates up to this size are verified within one task; larger ones by pairs of blocks
+#: of half of it.
 GROUP_ROWS = 4096
 GROUP_WORDS = 8_000_000
+#: Members whose candidates are bounded together, shingles of a matrix, and pairs of rarer ones at once.
+TILE, WIDE, EXPANDED = 512, 1024, 2_000_000
 
 U = np.uint64
 MULTIPLIER = U(0x9E3779B97F4A7C15)  # odd; 2**64 divided by the golden ratio
@@ -181,106 +184,118 @@ def signed(placed: DataFrame) -> DataFrame:
 
 
 def weighted(placed: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Shingles of the representatives (v, g, bands, file, row) of vertices: v, g, bands, hashes,
-    weights (binary).
+    """Shingles of the representatives (v, g, blocks, bands, file, row) of vertices: v, g, blocks,
+    bands, hashes, weights (binary).
 
     Other rows are dropped where they are read, by a bitmap of the addresses.
     """
     rows = placed.select("file", "row", "text")
     some = with_maybe(rows, members_bitmap(vertices, "file", "row"), "file", "row").where("__maybe").drop("__maybe")
-    met = some.join(vertices, ["file", "row"]).select("v", "g", "bands", "text")
+    met = some.join(vertices, ["file", "row"]).select("v", "g", "blocks", "bands", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            for first, end, part in portions(batch.column(3), TOGETHER):
+            for first, end, part in portions(batch.column(4), TOGETHER):
                 of, value, weight = shingler.shingles(shingler.words(part))
                 cuts = np.searchsorted(of, np.arange(len(part) + 1))
                 hashes = [value[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 weights = [weight[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 own = batch.slice(first, end - first)
-                cols = [own.column(0), own.column(1), own.column(2), pa.array(hashes, pa.binary()), pa.array(weights, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["v", "g", "bands", "hashes", "weights"])
+                cols = [*[own.column(k) for k in range(4)], pa.array(hashes, pa.binary()), pa.array(weights, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["v", "g", "blocks", "bands", "hashes", "weights"])
 
-    return met.mapInArrow(run, "v bigint, g bigint, bands array<bigint>, hashes binary, weights binary")
+    return met.mapInArrow(run, "v bigint, g bigint, blocks int, bands array<bigint>, hashes binary, weights binary")
+
+
+def in_common(sets: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, x, y) by tiles of rows: x[i, j] is the share of row i's weight on shingles that
+    member j has too, y[i, j] that of j's on those of row i.
+
+    Shingles that many members have are columns of matrices; the others' pairs are listed.
+    """
+    n = len(sets)
+    sizes = np.array([len(hashes) for hashes, _ in sets], np.int64)
+    of = np.repeat(np.arange(n), sizes)
+    mass = np.concatenate([w / max(int(w.sum(dtype=np.int64)), 1) for _, w in sets])
+    _, shingle, counts = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True, return_counts=True)
+    order = np.argsort(shingle, kind="stable")  # by shingle, then by member
+    of, mass, starts = of[order], mass[order], np.cumsum(counts) - counts
+    many = np.flatnonzero(counts >= max(16, n // 10))
+    few = np.flatnonzero((counts > 1) & (counts < max(16, n // 10)))
+    at, which = ragged(starts[few], counts[few])
+    which = few[which]
+    for a in range(0, n, TILE):
+        b = min(a + TILE, n)
+        x, y = np.zeros((b - a, n), np.float32), np.zeros((b - a, n), np.float32)
+        for k in range(0, len(many), WIDE):
+            some, column = ragged(starts[many[k : k + WIDE]], counts[many[k : k + WIDE]])
+            weight = np.zeros((n, min(WIDE, len(many) - k)), np.float32)
+            weight[of[some], column] = mass[some]
+            there = (weight > 0).astype(np.float32)
+            x += weight[a:b] @ there.T
+            y += there[a:b] @ weight.T
+        own = (of[at] >= a) & (of[at] < b)
+        rows, kinds = at[own], which[own]
+        ends = np.cumsum(counts[kinds])
+        first = 0
+        while first < len(rows):
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + EXPANDED, side="right")))
+            others, row = ragged(starts[kinds[first:last]], counts[kinds[first:last]])
+            row = rows[first:last][row]
+            key = (of[row] - a) * n + of[others]
+            x += np.bincount(key, mass[row], (b - a) * n).reshape(b - a, n).astype(np.float32)
+            y += np.bincount(key, mass[others], (b - a) * n).reshape(b - a, n).astype(np.float32)
+            first = last
+        yield a, x, y
 
 
 def components(keys: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.ndarray:
     """Component of each member of a group (index of one of its members).
 
-    Pairs that share a band key are verified unless they are in one component already.  Members
-    with most shared keys come first: what is like them merges at once.  1 - similarity is a
-    metric, so the distances to the first member rule out pairs that can't be near.
+    Pairs that share a band key are verified unless they are in one component already, or what they
+    have in common rules them out: with x of one's weight and y of the other's there, the similarity
+    is x * y / (x + y - x * y) at most (the sum over common shingles of 1 / (1 / x_i + (1 - y) / y_i)
+    bounds it, and that is concave).
     """
-    n = len(sets)
-    parent = np.arange(n)
-    _, inverse, counts = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
-    order = np.argsort(-counts[inverse].reshape(keys.shape).sum(axis=1), kind="stable")
-    to_hub, reach = np.full(n, np.nan), 1.0 - threshold + 1e-9
-    done = np.zeros(n, bool)
-    for turn, i in enumerate(order):
-        near = (keys == keys[i]).any(axis=1)
-        near &= (parent != parent[i]) & ~done
-        if turn and not np.isnan(to_hub[i]):
-            near &= ~(np.abs(to_hub - to_hub[i]) > reach)
-        for j in np.flatnonzero(near):
-            if parent[j] == parent[i]:
-                continue
-            similarity = probability_jaccard(sets[i], sets[j])
-            if not turn:
-                to_hub[j] = 1.0 - similarity
-            if similarity >= threshold:
-                parent[parent == parent[j]] = parent[i]
-        if not turn:
-            to_hub[i] = 0.0
-        done[i] = True
+    parent = np.arange(len(sets))
+    for first, x, y in in_common(sets):
+        both = x * y
+        possible = both >= (threshold - 1e-3) * (x + y - both)  # more than float32 loses
+        for k, row in enumerate(possible):
+            i = first + k
+            near = np.flatnonzero(row[i + 1 :] & (parent[i + 1 :] != parent[i])) + i + 1
+            near = near[(keys[near] == keys[i]).any(axis=1)]
+            for j in near:
+                if parent[j] != parent[i] and probability_jaccard(sets[i], sets[j]) >= threshold:
+                    parent[parent == parent[j]] = parent[i]
     return parent
 
 
 def clustered(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """(v, g, bands, hashes, weights), sorted by g -> (v, c)."""
+    """(v, g, cell, split, bands, hashes, weights), sorted by g and cell -> (v, split, c) for each cell."""
     current, part = None, []
 
     def close() -> pa.RecordBatch:
         keys = np.array([p[1] for p in part], np.int64)
         sets = [(np.frombuffer(p[2], "<u8"), np.frombuffer(p[3], "<u4")) for p in part]
         v = np.array([p[0] for p in part], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(v), pa.array(v[components(keys, sets, threshold)])], names=["v", "c"])
+        cols = [pa.array(v), pa.array(np.full(len(v), current[2])), pa.array(v[components(keys, sets, threshold)])]
+        return pa.RecordBatch.from_arrays(cols, names=["v", "split", "c"])
 
     for batch in batches:
-        bands = batch.column(2)
-        for k, (v, g) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            if g != current:
+        bands = batch.column(4)
+        for k, (v, *cell) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True)):
+            if cell != current:
                 if part:
                     yield close()
-                current, part = g, []
-            part.append((v, bands[k].values.to_numpy(), batch.column(3)[k].as_py(), batch.column(4)[k].as_py()))
+                current, part = cell, []
+            part.append((v, bands[k].values.to_numpy(), batch.column(5)[k].as_py(), batch.column(6)[k].as_py()))
     if part:
         yield close()
 
 
-def verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
-    """Staged pairs (p, v) with ``linked``: whether their exact similarity reaches the threshold.
-
-    A pivot p may have many pairs: these are dealt over salts.
-    """
-    pivots = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).join(
-        shingles.select(F.col("v").alias("p"), F.col("hashes").alias("ha"), F.col("weights").alias("wa")), "p")
-    right = shingles.select("v", F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
-    met = spread_join(pairs, staged(pivots, "sets"), "p", "n", "inner").join(right, "v").select("p", "v", "ha", "wa", "hb", "wb")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for ha, wa, hb, wb in zip(*[batch.column(k) for k in range(2, 6)]):
-                x = np.frombuffer(ha.as_buffer(), "<u8"), np.frombuffer(wa.as_buffer(), "<u4")
-                y = np.frombuffer(hb.as_buffer(), "<u8"), np.frombuffer(wb.as_buffer(), "<u4")
-                linked.append(probability_jaccard(x, y) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["p", "v", "linked"])
-
-    return met.mapInArrow(run, "p bigint, v bigint, linked boolean")
-
-
 def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (v, c) after merging the components that links (a, b) connect; staged.
 
@@ -311,37 +326,12 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
             "x", F.coalesce("ny", "y").alias("y"))
 
 
-def merged_by_rounds(members: DataFrame, buckets: DataFrame, shingles: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Labels (v, c) of large groups, bucket by bucket, with a few pivots per round.
-
-    members: (key, v, n); buckets: (key, n).  A bucket's most connected member is its first pivot.
-    """
-    ranks = staged(members.groupBy("v").agg(F.sum("n").alias("degree")), "degrees")
-    members = staged(members.join(ranks, "v"), "members")
-    tested, done, turn = None, members.limit(0).select("key", "v"), 0
-    while True:
-        count = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        turn += 1
-        open_members = members.join(labels, "v").select("key", "v", "c", "degree")
-        if turn > 1:  # only buckets with several components, and members that were no pivot yet
-            mixed = open_members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-            open_members = staged(open_members.join(mixed, "key", "left_semi"), "open")
-        fresh = open_members.join(done, ["key", "v"], "left_anti")
-        slot = F.pmod(F.xxhash64("v"), F.lit(count))
-        best = F.min(F.struct((-F.col("degree")).alias("degree"), "v", "c")).alias("p")
-        pivots = staged(fresh.groupBy("key", slot.alias("slot")).agg(best).select("key", F.col("p.v").alias("p"), F.col("p.c").alias("pc")), "pivots")
-        if pivots.isEmpty():
-            return labels
-        sized = pivots.groupBy("key").agg(F.collect_list(F.struct("p", "pc")).alias("ps")).join(buckets, "key")  # at most `count` each
-        met = spread_join(fresh.drop("degree"), sized, "key", "n", "inner").select("v", "c", F.explode("ps").alias("q"))
-        pairs = met.where("v <> q.p AND c <> q.pc").select("q.p", "v").distinct()
-        ends = [F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b")]
-        if tested is not None:
-            pairs = pairs.select("*", *ends).join(tested, ["a", "b"], "left_anti").select("p", "v")
-        results = staged_in_small_batches(verified(staged(pairs, "pairs"), shingles, threshold), "results").select("linked", *ends)
-        tested = results.select("a", "b") if tested is None else tested.unionByName(results.select("a", "b"))
-        done = done.unionByName(pivots.select("key", F.col("p").alias("v")))
-        labels = merge_components(labels, results.where("linked"))
+def cells() -> Column:
+    """The pairs of blocks in which a vertex ``v`` of a group of ``blocks`` blocks meets others."""
+    own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("long")
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda k: k != own)
+    met = F.transform(others, lambda k: F.least(own, k) * F.col("blocks") + F.greatest(own, k))
+    return F.when(F.col("blocks") > 1, met).otherwise(F.array(F.lit(0).cast("long")))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
@@ -374,17 +364,22 @@ def classes_of(placed: DataFrame, threshold: float, group_rows: int = GROUP_ROWS
     groups = merge_components(involved, members.where("v <> p").select(F.col("v").alias("a"), F.col("p").alias("b")).distinct())
     where = vertices.join(groups, "v").select("v", F.col("c").alias("g"), "bands", "words", "rep.file", "rep.row")
     sizes = where.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
-    large = staged(sizes.where((F.col("n") > group_rows) | (F.col("words") > group_words)).select("g"), "large")
-    small = where.join(large, "g", "left_anti").drop("words")
+    fill = F.greatest(F.ceil(F.lit(2.0) * F.col("n") / group_rows), F.ceil(F.lit(2.0) * F.col("words") / group_words))
+    large = sizes.where((F.col("n") > group_rows) | (F.col("words") > group_words)).where("n > 1")
+    large = staged(large.select("g", "n", F.least("n", F.greatest(fill, F.lit(2))).cast("int").alias("blocks")), "large")
+    few = where.drop("words").join(large, "g", "left_anti").withColumn("blocks", F.lit(1))
+    sets, some = weighted(placed, staged(few, "small")), not large.isEmpty()
+    if some:
+        rest = staged(spread_join(where.drop("words"), large, "g", "n", "inner").drop("n"), "rest")
+        sets = sets.unionByName(weighted(placed, rest))
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sets = weighted(placed, staged(small, "small")).repartition(parts, "g").sortWithinPartitions("g", "v")
-    labels = staged_in_small_batches(sets.mapInArrow(lambda it: clustered(it, threshold), "v bigint, c bigint"), "labels")
-    if not large.isEmpty():
-        rest = staged(where.join(large, "g", "left_semi").drop("words"), "rest")
-        shingles = staged_in_small_batches(weighted(placed, rest).select("v", "hashes", "weights"), "shingles")
-        own = staged(members.join(rest.select("v"), "v", "left_semi").select("key", "v", "n"), "members")
+    sets = sets.select("v", "g", F.explode(cells()).alias("cell"), (F.col("blocks") > 1).alias("split"), "bands", "hashes", "weights")
+    sets = sets.repartition(parts, "g", "cell").sortWithinPartitions("g", "cell", "v")
+    labels = staged_in_small_batches(sets.mapInArrow(lambda it: clustered(it, threshold), "v bigint, split boolean, c bigint"), "labels")
+    if some:  # the components of blocks that met
+        linked = labels.where("split AND v <> c").select(F.col("v").alias("a"), F.col("c").alias("b"))
         begin = staged(rest.select("v", F.col("v").alias("c")), "labels")
-        labels = labels.unionByName(merged_by_rounds(own, buckets.select("key", "n"), shingles, begin, threshold))
+        labels = labels.where("NOT split").select("v", "c").unionByName(merge_components(begin, linked))
     classed = staged(vertices.join(labels, "v", "left").select("h1", "h2", "rep", "copies", F.coalesce("c", "v").alias("c")), "labelled")
     best = classed.groupBy("c").agg(F.min("rep").alias("best"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n"))
     met = spread_join(classed, staged(best, "classes"), "c", "n", "inner")

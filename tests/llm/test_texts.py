@@ -367,6 +367,26 @@ def test_near_dedup(spark, bound):
     assert sum(r.representative for r in got) == len(classes)
 
 
+def test_candidates_that_cannot_be_near(monkeypatch):
+    """Many copies of one page, each changed too much: all pairs are candidates, few are verified."""
+    rng = np.random.default_rng(3)
+    page, sets = np.sort(rng.integers(0, 1 << 60, 300).astype("u8")), []
+    for k in range(400):
+        kept = page[rng.random(300) > rng.uniform(0, 0.3)]
+        own = rng.integers(0, 1 << 60, 300 - len(kept)).astype("u8")
+        hashes = np.sort(np.concatenate([kept, own]))
+        sets.append((hashes, rng.integers(1, 4, len(hashes)).astype("u4") if k % 10 == 0 else np.ones(len(hashes), "u4")))
+    calls, exact = [], near_dedup.probability_jaccard
+    monkeypatch.setattr(near_dedup, "probability_jaccard", lambda a, b: calls.append(1) or exact(a, b))
+    got = near_dedup.components(np.zeros((400, near_dedup.BANDS), np.int64), sets, 0.8)
+    expected = np.arange(400)
+    for i, j in itertools.combinations(range(400), 2):
+        if expected[i] != expected[j] and exact(sets[i], sets[j]) >= 0.8:
+            expected[expected == expected[j]] = expected[i]
+    assert len(set(zip(got, expected, strict=True))) == len(set(got)) == len(set(expected)) > 100
+    assert len(calls) < 2000  # of 79,800 pairs
+
+
 def test_near_dedup_keeps_columns(spark):
     df = docs(spark, near_rows())
     assert near_dedup.keep_one(df).schema == df.schema
