@@ -45,6 +45,14 @@ def test_any_document_in_any_portions(value, size, ascii_only, indent, piece):
     assert read(data, size, piece) == dict(flat(value))
 
 
+@pytest.mark.parametrize("text", ["\U00010000" * 9, "\x1f\x1f\x1f\x07\U00010000\U00010000\x1f", "\\ud800" * 12, "\\\U00010000" * 9, "a\U0001f600\U0001f600" * 9])
+def test_pairs_of_surrogates_stay_whole(text):
+    for lead in range(12):
+        for piece in range(30, 42):
+            value = "x" * lead + text
+            assert read(json.dumps([value]).encode(), 1, piece) == {"/0": value}
+
+
 @given(VALUES, st.data())
 @settings(max_examples=300, deadline=None)
 def test_broken_documents(value, draw):
