@@ -51,7 +51,7 @@ TOGETHER = 1_000_000
 GROUP_ROWS = 4096
 GROUP_WORDS = 8_000_000
 #: Members whose candidates are bounded together, shingles of a matrix, and pairs of rarer ones at once.
-TILE, WIDE, EXPANDED = 512, 1024, 2_000_000
+TILE, WIDE, EXPANDED = 256, 512, 500_000
 
 U = np.uint64
 MULTIPLIER = U(0x9E3779B97F4A7C15)  # odd; 2**64 divided by the golden ratio
